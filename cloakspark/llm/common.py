@@ -102,14 +102,15 @@ def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def batches(sizes, limit: int):
     """Ranges of consecutive items whose sizes add up to at most limit, or a single item."""
-    begin, total = 0, 0
+    begin, total, end = 0, 0, 0
     for i, n in enumerate(sizes):
         if i > begin and total + n > limit:
             yield begin, i
             begin, total = i, 0
         total += n
-    if len(sizes) > begin:
-        yield begin, len(sizes)
+        end = i + 1
+    if end > begin:
+        yield begin, end
 
 
 def shingle_hashes(docs: list[bytes], k: int) -> list[np.ndarray]:
@@ -135,3 +136,20 @@ def shingle_hashes(docs: list[bytes], k: int) -> list[np.ndarray]:
                 out.append(np.zeros(0, dtype=U64))
             at += c
     return out
+
+
+#: Rows of ids (8 bytes each) that may be broadcast; more are joined by shuffling.
+BROADCAST_IDS = 1 << 20
+
+
+def bounded(ids: DataFrame) -> DataFrame:
+    """ids, written and counted: to be broadcast if there are few, else as it is."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose id is in the first column of ids; null ids stay."""
+    (name,) = fresh("gone")
+    ids = bounded(ids.toDF(name).where(F.col(name).isNotNull()).distinct())
+    return docs.join(ids, F.col(f"`{id_col}`") == F.col(name), "left_anti")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batches, cut, lowered, mix, pick, shingle_hashes
+from .common import U64, batches, bounded, cut, lowered, mix, pick, shingle_hashes, without
 
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
@@ -27,8 +27,6 @@ SKETCH_MARGIN = 0.16
 BLOCK = 256
 #: Elements of the sets that are signed at once (a byte for each element and slot).
 SIGN_AT_ONCE = 1 << 17
-#: Rows of ids that may be broadcast (8 bytes each); more are joined by shuffling.
-BROADCAST_IDS = 1 << 20
 
 _FRACTION = U64((1 << 40) - 1)
 
@@ -261,9 +259,8 @@ def _likely(pairs: DataFrame, sk: DataFrame, threshold: float) -> DataFrame:
 
 def _verified(d: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataFrame:
     """The pairs (u, v) whose full sets reach the threshold."""
-    ids = cut(pairs.select(F.col("u").alias("doc")).union(pairs.select(F.col("v").alias("doc"))).distinct())
-    small = ids.count() <= BROADCAST_IDS
-    sets = cut(d.join(F.broadcast(ids) if small else ids, "doc", "left_semi").mapInPandas(_sets(k), "doc long, s array<long>"))
+    ids = bounded(pairs.select(F.col("u").alias("doc")).union(pairs.select(F.col("v").alias("doc"))).distinct())
+    sets = cut(d.join(ids, "doc", "left_semi").mapInPandas(_sets(k), "doc long, s array<long>"))
     p = pairs.join(sets.select(F.col("doc").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("doc").alias("v"), F.col("s").alias("b")), "v")
     both = F.size(F.array_intersect("a", "b"))
     ok = p.where(both * 100 >= F.lit(round(threshold * 100)) * (F.size("a") + F.size("b") - both))
@@ -272,5 +269,4 @@ def _verified(d: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataF
 
 def deduplicate(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group: the one of the least id. Rows with null ids stay; all columns stay."""
-    gone = near_duplicates(docs, k=k, threshold=threshold, id_col=id_col, text_col=text_col).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    return without(docs, id_col, near_duplicates(docs, k=k, threshold=threshold, id_col=id_col, text_col=text_col).where("NOT kept").select("doc_id"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, neardup
+from . import bpe, decontam, langid, linededup, neardup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +17,43 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return linededup.dedup_lines(docs, dropped_col="n_dropped")
+
+
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+pages AS (SELECT source, count(*) AS n FROM d GROUP BY source),
+l AS (SELECT source, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x)), lambda x: x <> ''))) AS line FROM d),
+c AS (SELECT source, line, count(*) AS c FROM l GROUP BY source, line),
+b AS (SELECT c.source, list(line) AS found FROM c JOIN pages p ON c.source IS NOT DISTINCT FROM p.source
+      WHERE c.c >= {linededup.LEAST_PAGES} AND c.c > p.n * {linededup.RATIO} GROUP BY c.source),
+k AS (SELECT d.doc_id, d.source, d.text, d.lines, b.found,
+             list_filter(d.lines, lambda x: trim(x) = '' OR NOT list_contains(coalesce(b.found, []), trim(x))) AS kept
+      FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, source, CASE WHEN text IS NULL OR found IS NULL THEN text ELSE array_to_string(kept, chr(10)) END AS text,
+       CASE WHEN text IS NULL OR found IS NULL THEN 0 ELSE len(lines) - len(kept) END AS n_dropped
+FROM k
+"""
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op7_minhash_near_dedup)}
+    return {f.__name__: f for f in (op3_bpe, op5_decontamination, op7_minhash_near_dedup, op8_line_dedup, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": OP8_SQL}
