@@ -26,7 +26,7 @@ SKETCH_MARGIN = 0.16
 #: Members of a bucket that one task holds against as many others.
 BLOCK = 256
 #: Elements of the sets that are signed at once (a byte for each element and slot).
-SIGN_AT_ONCE = 1 << 17
+SIGN_AT_ONCE = 1 << 16
 
 _FRACTION = U64((1 << 40) - 1)
 
@@ -95,7 +95,7 @@ def _sign(k: int):
     def run(parts):
         for pdf in parts:
             texts = pdf["text"].tolist()
-            for a, b in batches([len(t) if t else 0 for t in texts], 1 << 22):
+            for a, b in batches([len(t) if t else 0 for t in texts], 1 << 21):
                 sets = shingle_hashes([lowered(t) for t in texts[a:b]], k)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig = superminhash([sets[i] for i in full])
@@ -118,7 +118,7 @@ def _sets(k: int):
     def run(parts):
         for pdf in parts:
             texts = pdf["text"].tolist()
-            for a, b in batches([len(t) if t else 0 for t in texts], 1 << 22):
+            for a, b in batches([len(t) if t else 0 for t in texts], 1 << 21):
                 sets = shingle_hashes([lowered(t) for t in texts[a:b]], k)
                 yield pd.DataFrame({"doc": pdf["doc"].iloc[a:b].to_numpy(), "s": [s.view(np.int64) for s in sets]})
 
