@@ -11,25 +11,30 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+def _w(text: str) -> tuple[int, ...]:
+    return tuple(map(int, text.split()))
+
+
 DIHEDRAL = [[(a + b) % 5 if a < 5 and b < 5 else 5 + (a + b) % 5 if a < 5 else 5 + (a - b) % 5 if b < 5 else (a - b) % 5 for b in range(10)] for a in range(10)]
-_STEP = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4]
+_STEP = _w("1 5 7 6 2 8 3 0 9 4")
 PERMUTED = [list(range(10))]
 for _ in range(7):
     PERMUTED.append([PERMUTED[-1][_STEP[d]] for d in range(10)])
 
 VIN_VALUES = {**{str(d): d for d in range(10)}, **dict(zip("ABCDEFGHJKLMNPRSTUVWXYZ", [*range(1, 9), *range(1, 6), 7, 9, *range(2, 10)]))}
-IT_ODD = dict(zip("0123456789", [1, 0, 5, 7, 9, 13, 15, 17, 19, 21])) | dict(zip("ABCDEFGHIJKLMNOPQRSTUVWXYZ", [1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23]))
+_FIRST_TEN = "1 0 5 7 9 13 15 17 19 21"
+IT_ODD = dict(zip("0123456789", _w(_FIRST_TEN))) | dict(zip("ABCDEFGHIJKLMNOPQRSTUVWXYZ", _w(f"{_FIRST_TEN} 2 4 18 20 11 3 6 8 12 14 16 10 22 25 24 23")))
 DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 BLANK = "[\t-\r \xa0  -     　﻿"
 
 #: name: separators to drop, format, weights, how the sum is judged ("zero": divisible; else see _WEIGHTED_RULES).
 WEIGHTED: dict[str, tuple[str, str, tuple[int, ...], str]] = {
     "aba-routing": (r"-]", r"[0-9]{9}", (3, 7, 1) * 3, "mod10"),
-    "bsn": (r".-]", r"[0-9]{9}", (9, 8, 7, 6, 5, 4, 3, 2, -1), "mod11"),
-    "au-tfn": (r"-]", r"[0-9]{9}", (1, 4, 3, 7, 5, 8, 6, 9, 10), "mod11"),
+    "bsn": (r".-]", r"[0-9]{9}", (*range(9, 1, -1), -1), "mod11"),
+    "au-tfn": (r"-]", r"[0-9]{9}", _w("1 4 3 7 5 8 6 9 10"), "mod11"),
     "nhs": (r"-]", r"[0-9]{10}", tuple(range(10, 1, -1)), "nhs"),
     "pt-nif": (r".-]", r"[1-9][0-9]{8}", tuple(range(9, 1, -1)), "nif"),
-    "cn-resident-id": ("]", r"[0-9]{17}[0-9X]", (7, 9, 10, 5, 8, 4, 2, 1, 6, 3) + (7, 9, 10, 5, 8, 4, 2), "cn"),
+    "cn-resident-id": ("]", r"[0-9]{17}[0-9X]", tuple(2**i % 11 for i in range(17, 0, -1)), "cn"),
 }
 UNREPEATED = {"aba-routing", "bsn", "au-tfn", "pt-nif"}
 
@@ -90,7 +95,7 @@ def cpf(value: str) -> bool:
     return all(_sum(v, tuple(range(n + 1, 1, -1))) * 10 % 11 % 10 == int(v[n]) for n in (9, 10))
 
 
-_CNPJ = (6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2)
+_CNPJ = (*range(6, 1, -1), *range(9, 1, -1))
 
 
 def cnpj(value: str) -> bool:
@@ -102,7 +107,7 @@ def cnpj(value: str) -> bool:
     return v[12:] == f"{first}{digit(v[:12] + str(first), _CNPJ)}"
 
 
-_VIN_WEIGHTS = (8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2)
+_VIN_WEIGHTS = (*range(8, 1, -1), 10, 0, *range(9, 1, -1))
 
 
 def vin(value: str) -> bool:
@@ -127,7 +132,8 @@ def iban(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
 
-NINO_FORM = r"(?!BG|GB|KN|NK|NT|TN|ZZ)[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z][0-9]{6}[A-D]"
+_NINO = ("[ABCEGHJKLMNOPRSTWXYZ]", "[ABCEGHJKLMNPRSTWXYZ]")
+NINO_FORM = rf"(?!BG|GB|KN|NK|NT|TN|ZZ){_NINO[0]}{_NINO[1]}[0-9]{{6}}[A-D]"
 
 
 def nino(value: str) -> bool:

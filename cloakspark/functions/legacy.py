@@ -88,7 +88,7 @@ _OCTET = "(?:2[0-4]%d|25[0-5]|[01]?%d%d?)"
 _HOST = "%z(?:[0-9A-Za-z-]{0,61}%z)?"
 _HEX = "[0-9A-Fa-f]{1,4}"
 _B58 = "[1-9A-HJ-NP-Za-km-z]"
-_MONTH = "(?:" + "|".join(["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"] + "Jan Feb Mar Apr Jun Jul Aug Sep Oct Nov Dec".split()) + ")"
+_MONTH = "(?:" + "|".join("January February March April May June July August September October November December Jan Feb Mar Apr Jun Jul Aug Sep Oct Nov Dec".split()) + ")"
 _YEAR, _MM, _DD = "(?:20|19)%d{2}", "(?:1[0-2]|0[1-9])", "(?:3[01]|0[1-9]|[12]%d)"
 _DAY = "(?:0?[1-9]|3[01]|[12]%d)"
 _DEA = "~[A-HJ-NPR-UX][A-Z9]%d{7}~"
@@ -111,7 +111,7 @@ _V6 = "|".join(
 
 TABLES: dict[str, Table] = {
     "email": Table((Rule(rf"~[0-9A-Za-z.!#$&'*+/=?^_`{{|}}%\x7e-]+@{_HOST}(?:\.{_HOST})*\.[A-Za-z]{{2,}}~", 0.99),)),
-    "ssn": Table((Rule("~(?!9%d{2}|666|000)%d{3}[ -]?(?!00)%d{2}[ -]?(?!0{4})%d{4}~", 0.95),)),
+    "ssn": Table((Rule("~(?!9%d{2}|666|000)%d{3}[- ]?(?!00)%d{2}[- ]?(?!0000)%d{4}~", 0.95),)),
     "credit-card": Table((Rule("~(?:%d[ -]?){13,19}~", valid(lambda v: 13 <= len(d := v.replace(" ", "").replace("-", "")) <= 19 and ck.luhn(d), 0.97)),)),
     "ipv4": Table((Rule(rf"~(?:{_OCTET}\.){{3}}{_OCTET}(?:/%d{{1,2}})?~", 0.98),)),
     "ipv6": Table((Rule(_V6, 0.98),)),
@@ -129,7 +129,7 @@ TABLES: dict[str, Table] = {
     ),
     "bank-account": Table(
         (
-            Rule("~(?:80|0[1-9]|1[0-2]|2[1-9]|3[0-2]|6[1-9]|7[0-2])%d{7}~", lambda v, n: (0.9 if ck.CHECKSUMS["aba-routing"](v) else 0.85) if n else None),
+            Rule("~(?:80|[026][1-9]|[137][0-2])%d{7}~", lambda v, n: (0.9 if ck.CHECKSUMS["aba-routing"](v) else 0.85) if n else None),
             Rule("~%d{2}-%d{2}-%d{2}~", 0.8),
             Rule("~%u{6}%m{2}(?:%m{3})?~", 0.82),
             Rule("~%d{7,18}~", near(0.8)),
@@ -166,7 +166,7 @@ TABLES: dict[str, Table] = {
             Rule("~%m{12}%d{2}~", valid(ck.cnpj, near(0.9)), "i"),
             Rule("~%d{10}~", near(0.85)),
         ),
-        rf"~(?:T\.?I\.?N\.?|EIN|ITIN|UTR|ABN|TFN|CNPJ|tax(?:%s+(?:id(?:entification)?|reference|{_NUMBER}))?|VAT(?:%s+(?:reg(?:istration)?|{_NUMBER}))?)".replace("#", r"\#") + _END,
+        rf"~(?:ABN|CNPJ|EIN|ITIN|TFN|T\.?I\.?N\.?|UTR|tax(?:%s+(?:id(?:entification)?|reference|{_NUMBER}))?|VAT(?:%s+(?:reg(?:istration)?|{_NUMBER}))?)".replace("#", r"\#") + _END,
         30,
     ),
     "medical-record": Table(
@@ -185,7 +185,7 @@ TABLES: dict[str, Table] = {
             Rule("~%u{2}%d{6,10}~", near(0.78)),
             Rule("~%m{8,14}~", near(0.75)),
         ),
-        rf"~(?:medicare|medicaid|EHIC|NHS(?:%s+{_NUMBER})?|health%s+insurance(?:%s+(?:id|card|{_NUMBER}))?|insurance%s+(?:id|member%s+id|{_NUMBER})|member%s+(?:id|number|no\.?)|policy%s+{_NUMBER}|beneficiary%s+(?:number|id))".replace("#", r"\#") + _END,
+        rf"~(?:medicare|medicaid|EHIC|NHS(?:%s+{_NUMBER})?|health%s+insurance(?:%s+(?:id|card|{_NUMBER}))?|insurance%s+(?:id|member%s+id|{_NUMBER})|member%s+(?:no\.?|number|id)|policy%s+{_NUMBER}|beneficiary%s+(?:number|id))".replace("#", r"\#") + _END,
         40,
     ),
     "prescription": Table(
@@ -257,7 +257,7 @@ TABLES: dict[str, Table] = {
             Rule("~(?:%d:%s*)?%d{2}(?:%s|-)(?:" + "|".join("adv ap bk br civ crim cr cv mc mj po".split()) + ")(?:%s|-)%d{4,6}~", by(0.8, 0.92), "i"),
             Rule("~(?:%u{1,4}(?:-|%s))?%d{2,4}[/-]%d{2,6}(?:[/-]%m{1,5})?~", near(0.78), "i"),
         ),
-        rf"~(?:case(?:%s+(?:id|{_NUMBER}))?|docket(?:%s+{_NUMBER})?|file%s+{_NUMBER}|matter%s+no\.?|civil%s+action|criminal%s+(?:case|no\.?|#)|court%s+(?:case|file(?:%s+no\.?)?))".replace("#", r"\#") + _END,
+        rf"~(?:case(?:%s+(?:id|{_NUMBER}))?|docket(?:%s+{_NUMBER})?|file%s+{_NUMBER}|matter%s+no\.?|civil%s+action|criminal%s+(?:#|no\.?|case)|court%s+(?:case|file(?:%s+no\.?)?))".replace("#", r"\#") + _END,
         30,
     ),
     "company-registration": Table(
@@ -403,7 +403,7 @@ _US = (
     "~%d{1,5}%s+(?:(?:" + "|".join("NE|NW|SE|SW|N|S|E|W|Northeast|Northwest|Southeast|Southwest|North|South|East|West".split("|")) + r")\.?%s+)?(?:%u[a-z]+%s+){1,4}(?:"
     + "|".join("St(?:reet)? Ave(?:nue)? Boulevard Blvd Dr(?:ive)? Road Rd Lane Ln Court Ct Place Pl Circle Cir Way Parkway Pkwy Highway Hwy Trail Trl Terr(?:ace)?".split()) + r")\.?(?:%s+(?:Apartment|Apt|Suite|Ste|Unit|\#)%s*%w+)?~"
 )
-_LABELLED = "(?:" + "|".join(r"mailing address|billing address|home address|office address|address(?:ed to)?|lives at|located at|shipped? to|residence|resides at|headquartered at".split("|")) + r")%s*:?%s*([^,\n]{10,80})"
+_LABELLED = "(?:" + "|".join(r"mailing address|billing address|home address|office address|headquartered at|residence|resides at|shipped? to|located at|lives at|address(?:ed to)?".split("|")) + r")%s*:?%s*([^,\n]{10,80})"
 
 
 def _address(text: str) -> list[Match]:

@@ -33,7 +33,7 @@ _EMAIL = (
 #: File and unit endings that look like domains.
 FILE_ENDINGS = frozenset("bmp css gif ico jpeg jpg js json map mount png scope service slice socket svg target timer webp".split())
 USUAL_ENDINGS = frozenset("ai app biz co com dev edu gov info int io me mil name net org pro".split())
-_USERINFO = re.compile(r"[a-z][a-z0-9+.-]*://[%*!$+:a-z0-9._~-]*\Z", re.I | re.A)
+_USERINFO = re.compile(r"[a-z][+.0-9a-z-]*://[%*!$+:a-z0-9._~-]*\Z", re.I | re.A)
 _MESSAGE_ID = rx(r"~(?:references|in-reply-to|message-id)%s*:%s*(?:<[^<>SPACE]*>%s*)*<[^@<>SPACE]*\Z".replace("SPACE", r"\s"), "i")
 
 
@@ -50,7 +50,8 @@ def _email(text: str):
             yield m.start(), m.end(), 0.99
 
 
-_AT = r"(?:%s*(?:\{at\}|\(at\)|\[at\]|\[@\])%s*|[\t ]+@[\t ]*|@[\t ]+)"
+_TABS = r"[\t ]"
+_AT = rf"(?:%s*(?:\{{at\}}|\(at\)|\[at\]|\[@\])%s*|{_TABS}+@{_TABS}*|@{_TABS}+)"
 _DOT = r"%s*(?:\{dot\}|\(dot\)|\[dot\]|\[\.\]|\.)%s*"
 _LABEL = rf"[{_LN}](?:[{_LN}-]*[{_LN}])?"
 _HIDDEN = rf"(?<![{_LN}%+._-])[{_LN}%+_-][{_LN}%+._-]{{0,63}}{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}\p{{L}}{{2,24}}(?![{_LN}])"
@@ -277,7 +278,7 @@ def _card(text: str):
 
 
 def _masked(text: str):
-    for m in rx("(?<![*0-9A-Za-z_])(?:[Xx*•]{4}[ -]?){2,3}(?:%d{4}|[Xx*•]{2}%d{2})(?!%d)").finditer(text):
+    for m in rx("(?<![*0-9A-Za-z_])(?:[Xx*•]{4}(?:-| )?){2,3}(?:%d{4}|[Xx*•]{2}%d{2})(?!%d)").finditer(text):
         yield m.start(), m.end(), 0.8
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..errors import UnsupportedStrategyError, ValidationError
 
 LABEL = "[REDACTED]"
-STRATEGIES = ("redact", "mask", "pseudonymize", "hash", "generalize", "tokenize", "encrypt", "synthesize")
+STRATEGIES = tuple("encrypt generalize hash mask pseudonymize redact synthesize tokenize".split())
 Replacer = Callable[[str, str], str]  # (value, category)
 
 
@@ -203,7 +203,7 @@ def replacer(spec: dict, secrets_: dict | None = None, tokenizer=None) -> Replac
             return lambda v, c: hashed(v, **o)
         if name == "generalize":
             if _whole(o.get("bucket_size", 10), "bucket_size", 1) < 2:
-                raise ValidationError("bucket_size", "must be at least 2: a range of one value hides nothing")
+                raise ValidationError("bucket_size", "must be 2 or more, for a range of one value hides nothing")
             hidden = int(math.log10(o.get("bucket_size", 10)))
 
             def general(v: str, c: str) -> str:
@@ -278,9 +278,10 @@ def generalize_column(value: Column, bucket_size: int = 10) -> Column:
 def encrypt_column(value: Column, key: Column, aad: str = "") -> Column:
     """enc:iv:ciphertext and tag in base64, AES-GCM with a random nonce. key is a binary column of 16 or 32 bytes."""
     sealed = F.aes_encrypt(value, key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), F.lit(aad)) if aad else F.aes_encrypt(value, key, F.lit("GCM"))
-    raw = F.hex(sealed)
     part = lambda x: F.base64(F.unhex(x))
-    return F.when(value.isNotNull(), F.concat_ws(":", F.lit("enc"), part(F.substring(raw, 1, 24)), part(F.substring(raw, F.lit(25), F.length(raw)))))
+    # One evaluation, two uses: each evaluation has a nonce of its own.
+    split = lambda raw: F.concat_ws(":", F.lit("enc"), part(F.substring(raw, F.lit(1), F.lit(24))), part(F.substring(raw, F.lit(25), F.length(raw))))
+    return F.when(value.isNotNull(), F.get(F.transform(F.array(F.hex(sealed)), split), F.lit(0)))
 
 
 def decrypt_column(sealed: Column, key: Column) -> Column:

@@ -21,6 +21,8 @@ from . import presets
 
 MEMBERS = {"categories", "preset", "detection", "aggressive", "patterns", "rules", "default_strategy", "min_confidence", "allow", "allow_case_sensitive", "overlap", "secrets"}
 _LETTER = regex.compile(r"[\p{L}\p{N}_]")
+_OTHER = r"[^\p{N}\p{L}]+"
+_EDGES = regex.compile(rf"\A{_OTHER}|{_OTHER}\Z")
 MAX_WORD = 40
 
 
@@ -173,7 +175,7 @@ def compile_pipeline(spec: dict | None = None, tokenizer=None) -> Pipeline:
     for s in (default, *rules.values()):  # a second pass finds nothing in what the first has written
         if s.get("strategy") not in ("tokenize", "hash", "encrypt"):
             label = s.get("label", strategies.LABEL) if s.get("strategy") == "redact" else strategies.LABEL
-            labels |= {label, regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", label)}
+            labels |= {label, _EDGES.sub("", label)}
     make = lambda s: strategies.replacer(s, spec.get("secrets"), tokenizer)
     return Pipeline(
         detectors,
