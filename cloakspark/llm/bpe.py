@@ -16,14 +16,17 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import pick
+from .common import pick, text_batches
 
 #: Pieces that a worker keeps in each of two generations; when the newer is full, it replaces the older.
 CACHE_ENTRIES = 1 << 17
+#: Bytes of text that a task encodes at once.
+AT_ONCE = 1 << 20
 
 #: White space as Unicode has it; Python's own idea of it has four control characters more.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -113,6 +116,10 @@ class ForcedBoundaryBPE:
                 get = self.cache.get
         return out
 
+    def forget(self) -> None:
+        """Gives back the memory of the cache: idle workers share an executor with other stages."""
+        self.cache, self.older = {}, {}
+
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for _, ids, _ in self.pieces(text or "") for i in ids.split(",")]
 
@@ -138,21 +145,21 @@ def encode(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id",
 
     def run(parts):
         bpe = load(path)
-        for pdf in parts:
+        for doc, texts in text_batches(parts, AT_ONCE):
             rows = []
-            for key, text in zip(pdf["doc_id"], pdf["text"]):
+            for text in texts:
                 got = bpe.pieces(text) if text else []
                 ids = ",".join([g[1] for g in got])
                 decoded = b"".join([g[2] for g in got]).decode("utf-8", "replace")
-                row = (None if pd.isna(key) else key, sum([g[0] for g in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+                row = (sum([g[0] for g in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
                 rows.append((*row, [int(i) for i in ids.split(",")] if ids else []) if with_ids else row)
-            out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
-            out["doc_id"] = out["doc_id"].astype(pdf["doc_id"].dtype if pdf["doc_id"].dtype.kind in "iO" else "Int64")
-            yield out
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([doc, *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+        bpe.forget()
 
-    d = pick(docs, doc_id=id_col, text=text_col)
-    kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    d = pick(docs, doc=id_col, text=text_col)
+    kind = d.schema["doc"].dataType.simpleString()
+    return d.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def decode(ids: DataFrame, path: str | None = None, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,7 +97,9 @@ def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(len(buf))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(buf) + 1, dtype=U64)
-        np.cumsum(_LETTER[buf] * up[: len(buf)], out=sums[1:])
+        np.take(_LETTER, buf, out=sums[1:])
+        sums[1:] *= up[: len(buf)]
+        np.cumsum(sums, out=sums)
         h = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64)
     return mix(h), counts
 
@@ -113,6 +117,15 @@ def batches(sizes, limit: int):
         yield begin, end
 
 
+def text_batches(parts, limit: int):
+    """(ids, texts) of bounded runs of rows of Arrow batches (doc, text): only one run is Python objects at a time."""
+    for part in parts:
+        doc, text = part.column("doc"), part.column("text")
+        sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+        for a, b in batches(sizes, limit):
+            yield doc.slice(a, b - a), text.slice(a, b - a).to_pylist()
+
+
 def shingle_hashes(docs: list[bytes], k: int) -> list[np.ndarray]:
     """The sorted distinct hashes of each document's k-word shingles; fewer words: the whole sequence as one; no word: empty."""
     words, counts = word_hashes(docs)

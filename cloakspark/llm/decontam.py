@@ -9,11 +9,11 @@ The filter loses no region; what remains has an edit distance that was computed.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mix, pick, without
+from .common import mix, pick, text_batches, without
 
 Q = 8
 #: Characters of a window; windows begin every half of it, and one ends at the item's end. Shorter items are one window.
@@ -154,24 +154,19 @@ class Index:
 def _search(items: list[tuple[int, str | None]]):
     def run(parts):
         index = Index(items)
-        for pdf in parts:
-            rows = []
-            texts = [folded(t) for t in pdf["text"].tolist()]
-            keys = pdf["doc"].tolist()
-            for a, b in batches([len(t) for t in texts], AT_ONCE):
-                gap = np.full(WINDOW, 0xFFFFFFFE, np.uint32)
-                starts = np.cumsum([0] + [len(t) + WINDOW for t in texts[a : b - 1]])
-                whole = np.concatenate([y for t in texts[a:b] for y in (t, gap)])
-                best: dict[tuple[int, int], list[int]] = {}
-                for w, begin, end, edits in index.matches(whole):
-                    i = int(np.searchsorted(starts, begin, side="right")) - 1
-                    size = len(texts[a + i])
-                    item = index.windows[w][0]
-                    begin, end = begin - int(starts[i]), min(end - int(starts[i]), size)
-                    have = best.setdefault((i, item), [begin, end, edits, 0])
-                    have[:] = [min(have[0], begin), max(have[1], end), min(have[2], edits), have[3] + 1]
-                rows += [(keys[a + i], item, *v) for (i, item), v in sorted(best.items())]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "edits", "regions"])
+        gap = np.full(WINDOW, 0xFFFFFFFE, np.uint32)
+        for doc, own in text_batches(parts, AT_ONCE):
+            texts = [folded(t) for t in own]
+            starts = np.cumsum([0] + [len(t) + WINDOW for t in texts[:-1]])
+            best: dict[tuple[int, int], list[int]] = {}
+            for w, begin, end, edits in index.matches(np.concatenate([y for t in texts for y in (t, gap)])):
+                i = int(np.searchsorted(starts, begin, side="right")) - 1
+                begin, end = begin - int(starts[i]), min(end - int(starts[i]), len(texts[i]))
+                have = best.setdefault((i, index.windows[w][0]), [begin, end, edits, 0])
+                have[:] = [min(have[0], begin), max(have[1], end), min(have[2], edits), have[3] + 1]
+            rows = [(i, item, *v) for (i, item), v in sorted(best.items())]
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 6
+            yield pa.RecordBatch.from_arrays([doc.take(columns[0]), *columns[1:]], ["doc_id", "item_id", "start", "end", "edits", "regions"])
 
     return run
 
@@ -192,7 +187,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     out = None
     for i in range(max(1, blocks)):
         items = sorted((r["item"], r["text"]) for r in b.where(F.pmod(F.xxhash64("item"), F.lit(max(1, blocks))) == i).collect())
-        part = d.where(F.length("text") >= Q).mapInPandas(_search(items), "doc_id long, item_id long, start long, end long, edits long, regions long")
+        part = d.where(F.length("text") >= Q).mapInArrow(_search(items), "doc_id long, item_id long, start long, end long, edits long, regions long")
         out = part if out is None else out.unionAll(part)
     return out
 

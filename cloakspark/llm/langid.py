@@ -12,12 +12,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mix, pick
+from .common import batches, mix, pick, text_batches
 
 ORDERS = (2, 3, 4)
 BITS = 13
@@ -159,21 +160,25 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
     """
 
     def run(parts):
-        for pdf in parts:
-            texts = pdf["text"].tolist()
+        least = model.threshold if model else 2.0
+        for doc, texts in text_batches(parts, AT_ONCE):
             pred, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            known = [i for i, t in enumerate(texts) if model and t and _ANY_LETTER.search(t)]
-            encoded = [texts[i].encode() for i in known]
-            for a, b in batches(map(len, encoded), AT_ONCE):
-                p = model.probabilities(encoded[a:b])
-                for i, c, s in zip(known[a:b], p.argmax(axis=1), p.max(axis=1)):
-                    pred[i], score[i] = model.languages[c], float(min(1.0, s))
-            least = model.threshold if model else 2.0
-            yield pd.DataFrame({"doc_id": pdf["doc"], "held_out": pdf["held"], "lang_pred": pred, "score": score, "accepted": [p != UNDETERMINED and s >= least for p, s in zip(pred, score)]})
+            for i, c, s in _scored(model, texts):
+                pred[i], score[i] = model.languages[c], float(min(1.0, s))
+            accepted = [p != UNDETERMINED and s >= least for p, s in zip(pred, score)]
+            yield pa.RecordBatch.from_arrays([doc, pa.array(pred), pa.array(score), pa.array(accepted)], ["doc_id", "lang_pred", "score", "accepted"])
 
     d = pick(docs, doc=id_col, text=text_col)
-    d = d.select("doc", "text", F.coalesce(held_out(F.col("doc")), F.lit(False)).alias("held"))
-    return d.mapInPandas(run, f"doc_id {d.schema['doc'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, accepted boolean")
+    out = d.mapInArrow(run, f"doc_id {d.schema['doc'].dataType.simpleString()}, lang_pred string, score double, accepted boolean")
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def _scored(model: Model | None, texts: list[str | None]):
+    """(place, language, score) of the texts that have a letter."""
+    known = [i for i, t in enumerate(texts) if model and t and _ANY_LETTER.search(t)]
+    if known:
+        p = model.probabilities([texts[i].encode() for i in known])
+        yield from zip(known, p.argmax(axis=1), p.max(axis=1))
 
 
 def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -182,13 +187,13 @@ def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if model is None:
         return docs.limit(0)
 
-    @F.pandas_udf("boolean")
-    def accepted(parts: "pd.Series") -> "pd.Series":
-        out = np.zeros(len(parts), dtype=bool)
-        known = [i for i, t in enumerate(parts) if t and _ANY_LETTER.search(t)]
-        encoded = [parts.iat[i].encode() for i in known]
-        for a, b in batches(map(len, encoded), AT_ONCE):
-            out[known[a:b]] = model.probabilities(encoded[a:b]).max(axis=1) >= model.threshold
-        return pd.Series(out)
-
-    return docs.where(accepted(F.col(f"`{text_col}`")))
+    def run(parts):
+        for part in parts:
+            text, keep = part.column(text_col), np.zeros(part.num_rows, dtype=bool)
+            sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+            for a, b in batches(sizes, AT_ONCE):
+                for i, _, s in _scored(model, text.slice(a, b - a).to_pylist()):
+                    keep[a + i] = s >= model.threshold
+            yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

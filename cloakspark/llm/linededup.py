@@ -21,7 +21,7 @@ BROADCAST_BYTES = 32 << 20
 
 def host_of(url: Column) -> Column:
     """The host of a URL column; null if there is none."""
-    return F.nullif(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.lower(url), r"^[a-z][+.0-9a-z-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
 
 
 def _lines(text: Column) -> Column:

@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batches, bounded, cut, lowered, mix, pick, shingle_hashes, without
+from .common import U64, batches, bounded, cut, lowered, mix, pick, shingle_hashes, text_batches, without
 
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
@@ -26,7 +27,9 @@ SKETCH_MARGIN = 0.16
 #: Members of a bucket that one task holds against as many others.
 BLOCK = 256
 #: Elements of the sets that are signed at once (a byte for each element and slot).
-SIGN_AT_ONCE = 1 << 16
+SIGN_AT_ONCE = 1 << 15
+#: Bytes of text that are made into sets at once.
+AT_ONCE = 1 << 19
 
 _FRACTION = U64((1 << 40) - 1)
 
@@ -93,34 +96,31 @@ def set_digest(s: np.ndarray) -> bytes:
 
 def _sign(k: int):
     def run(parts):
-        for pdf in parts:
-            texts = pdf["text"].tolist()
-            for a, b in batches([len(t) if t else 0 for t in texts], 1 << 21):
-                sets = shingle_hashes([lowered(t) for t in texts[a:b]], k)
-                full = [i for i, s in enumerate(sets) if len(s)]
-                sig = superminhash([sets[i] for i in full])
-                keys, sk = band_keys(sig), sketches(sig)
-                rows = {i: j for j, i in enumerate(full)}
-                yield pd.DataFrame(
-                    {
-                        "doc": pdf["doc"].iloc[a:b].to_numpy(),
-                        "n": [len(s) for s in sets],
-                        "digest": [set_digest(s) if len(s) else None for s in sets],
-                        "bands": [keys[rows[i]] if i in rows else None for i in range(len(sets))],
-                        "sketch": [sk[rows[i]].tobytes() if i in rows else None for i in range(len(sets))],
-                    }
-                )
+        for doc, texts in text_batches(parts, AT_ONCE):
+            sets = shingle_hashes([lowered(t) for t in texts], k)
+            full = [i for i, s in enumerate(sets) if len(s)]
+            sig = superminhash([sets[i] for i in full])
+            keys, sk = band_keys(sig), sketches(sig)
+            rows = {i: j for j, i in enumerate(full)}
+            yield pa.RecordBatch.from_arrays(
+                [
+                    doc,
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([keys[rows[i]] if i in rows else None for i in range(len(sets))], pa.list_(pa.int64())),
+                    pa.array([sk[rows[i]].tobytes() if i in rows else None for i in range(len(sets))], pa.binary()),
+                ],
+                ["doc", "n", "digest", "bands", "sketch"],
+            )
 
     return run
 
 
 def _sets(k: int):
     def run(parts):
-        for pdf in parts:
-            texts = pdf["text"].tolist()
-            for a, b in batches([len(t) if t else 0 for t in texts], 1 << 21):
-                sets = shingle_hashes([lowered(t) for t in texts[a:b]], k)
-                yield pd.DataFrame({"doc": pdf["doc"].iloc[a:b].to_numpy(), "s": [s.view(np.int64) for s in sets]})
+        for doc, texts in text_batches(parts, AT_ONCE):
+            sets = shingle_hashes([lowered(t) for t in texts], k)
+            yield pa.RecordBatch.from_arrays([doc, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc", "s"])
 
     return run
 
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, id_c
     with a null id has a null component and is kept. Empty tables give empty ones; other columns are left behind.
     """
     d = pick(docs, doc=id_col, text=text_col).withColumn("doc", F.col("doc").cast("long"))
-    signed = cut(d.mapInPandas(_sign(k), "doc long, n long, digest binary, bands array<long>, sketch binary"))
+    signed = cut(d.mapInArrow(_sign(k), "doc long, n long, digest binary, bands array<long>, sketch binary"))
     full = signed.where("n > 0 AND doc IS NOT NULL")
     classes = full.groupBy("digest", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("c"))
     extra = cut(full.select("doc", "digest", "n").join(classes.where("c > 1").select("digest", "n", "rep"), ["digest", "n"]).where("doc <> rep").distinct())
@@ -260,7 +260,7 @@ def _likely(pairs: DataFrame, sk: DataFrame, threshold: float) -> DataFrame:
 def _verified(d: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataFrame:
     """The pairs (u, v) whose full sets reach the threshold."""
     ids = bounded(pairs.select(F.col("u").alias("doc")).union(pairs.select(F.col("v").alias("doc"))).distinct())
-    sets = cut(d.join(ids, "doc", "left_semi").mapInPandas(_sets(k), "doc long, s array<long>"))
+    sets = cut(d.join(ids, "doc", "left_semi").mapInArrow(_sets(k), "doc long, s array<long>"))
     p = pairs.join(sets.select(F.col("doc").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("doc").alias("v"), F.col("s").alias("b")), "v")
     both = F.size(F.array_intersect("a", "b"))
     ok = p.where(both * 100 >= F.lit(round(threshold * 100)) * (F.size("a") + F.size("b") - both))

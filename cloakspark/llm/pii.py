@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .common import pick
 
 LOCAL = "A-Za-z0-9._%+-"
+LABEL = "[A-Za-z0-9-]++"
 #: Characters before a span in which context words count.
 CONTEXT = 40
 NEAR, FAR = 0.1, 0.0
@@ -35,7 +36,7 @@ class Kind:
 
 KINDS = (
     # After a match, a local part may begin in the middle of a run: \G.
-    Kind("email", rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.85, r"e-?mail|contact|write to|courriel|kontakt|correo"),
+    Kind("email", rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@{LABEL}(?:\.{LABEL})++", "@", 0.85, r"e-?mail|contact|write to|courriel|kontakt|correo"),
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+", "0-9", 0.75, r"\bip\b|address|host|server|client|adresse"),
     Kind("card", r"(?<![0-9])[0-9](?:[ -]?[0-9])++", "0-9", 0.8, r"card|visa|master|amex|credit|debit|carte|karte|tarjeta"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", 0.7, r"phone|tel|call|mobile|fax|fon|llame"),
