@@ -286,9 +286,9 @@ def encrypt_column(value: Column, key: Column, aad: str = "") -> Column:
 
 def decrypt_column(sealed: Column, key: Column) -> Column:
     """The value of encrypt_column's result; null where that fails."""
-    parts = F.split(sealed, ":")
-    whole = F.unhex(F.concat(F.hex(F.unbase64(F.get(parts, F.lit(1)))), F.hex(F.unbase64(F.get(parts, F.lit(2))))))
-    return F.when(sealed.startswith("enc:"), F.try_aes_decrypt(whole, key, F.lit("GCM")).cast("string"))
+    raw = lambda e, i: F.hex(F.unbase64(F.get(F.split(e, ":"), F.lit(i))))
+    opened = lambda e: F.try_aes_decrypt(F.unhex(F.concat(raw(e, 1), raw(e, 2))), key, F.lit("GCM")).cast("string")
+    return F.get(F.transform(F.array(sealed), lambda e: F.when(e.startswith("enc:"), opened(e))), F.lit(0))
 
 
 def derive_key(passphrase: str) -> bytes:
