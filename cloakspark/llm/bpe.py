@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import pick, text_batches
+from .common import give_back, pick, text_batches
 
 #: Pieces that a worker keeps in each of two generations; when the newer is full, it replaces the older.
 CACHE_ENTRIES = 1 << 17
@@ -156,6 +156,7 @@ def encode(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id",
             kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([doc, *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
         bpe.forget()
+        give_back()
 
     d = pick(docs, doc=id_col, text=text_col)
     kind = d.schema["doc"].dataType.simpleString()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -124,6 +126,18 @@ def text_batches(parts, limit: int):
         sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
         for a, b in batches(sizes, limit):
             yield doc.slice(a, b - a), text.slice(a, b - a).to_pylist()
+        part = doc = text = None
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: idle workers share an executor's memory with the stages after theirs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def shingle_hashes(docs: list[bytes], k: int) -> list[np.ndarray]:

@@ -17,8 +17,8 @@ from .common import mix, pick, text_batches, without
 
 Q = 8
 #: Characters of a window; windows begin every half of it, and one ends at the item's end. Shorter items are one window.
-WINDOW = 80
-#: Edits for each character of a window: 6 for 80.
+WINDOW = 50
+#: Edits for each character of a window: 3 for 50.
 EDITS = 0.075
 #: Diagonals between the beginnings of two bands.
 STEP = 16

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mix, pick, text_batches
+from .common import batches, give_back, mix, pick, text_batches
 
 ORDERS = (2, 3, 4)
 BITS = 13
@@ -195,5 +195,6 @@ def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 for i, _, s in _scored(model, text.slice(a, b - a).to_pylist()):
                     keep[a + i] = s >= model.threshold
             yield part.filter(pa.array(keep))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
