@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,11 +40,16 @@ def guard_path(path: str, sensitive: Callable[[str], bool]) -> str:
     return "/".join("*" if part and sensitive(part) else part for part in path.split("/"))
 
 
-def seal(events: DataFrame, key: bytes | None = None, sensitive: Callable[[str], bool] | None = None) -> DataFrame:
+def heads_of(audit: DataFrame) -> DataFrame:
+    """chain_id, seq, hash of each chain's last record."""
+    return audit.groupBy("chain_id").agg(F.max("seq").alias("seq"), F.max_by("hash", "seq").alias("hash"))
+
+
+def seal(events: DataFrame, key: bytes | None = None, sensitive: Callable[[str], bool] | None = None, heads: DataFrame | None = None) -> DataFrame:
     """The audit table of events (chain_id, ts, operation, actor, source, fields, attributes as JSON; seq gives the order).
 
     A chain is sealed by one task, a run of rows at a time: it hashes in order and holds only the last hash. Make
-    chains by job or partition to seal in parallel.
+    chains by job or partition to seal in parallel. heads continue chains that were written before.
     """
     test = sensitive or (lambda s: False)
 
@@ -52,7 +58,8 @@ def seal(events: DataFrame, key: bytes | None = None, sensitive: Callable[[str],
         for pdf in parts:
             rows = []
             for r in pdf.to_dict("records"):
-                n, prev = last.get(r["chain_id"], (-1, GENESIS))
+                start = (-1, GENESIS) if pd.isna(r["head_seq"]) else (int(r["head_seq"]), r["head_hash"])
+                n, prev = last.get(r["chain_id"], start)
                 count = 0
                 for c in ("operation", "actor", "source"):
                     r[c], hit = guard(r[c], test)
@@ -63,7 +70,12 @@ def seal(events: DataFrame, key: bytes | None = None, sensitive: Callable[[str],
                 rows.append(r)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in S.AUDIT.split(", ")])
 
-    return events.select("chain_id", "seq", "ts", "operation", "actor", "source", "fields", "attributes").repartition("chain_id").sortWithinPartitions("chain_id", "seq").mapInPandas(run, S.AUDIT)
+    own = events.select("chain_id", "seq", "ts", "operation", "actor", "source", "fields", "attributes")
+    if heads is None:
+        own = own.select("*", F.lit(None).cast("long").alias("head_seq"), F.lit(None).cast("string").alias("head_hash"))
+    else:
+        own = own.join(heads.select("chain_id", F.col("seq").alias("head_seq"), F.col("hash").alias("head_hash")), "chain_id", "left")
+    return own.repartition("chain_id").sortWithinPartitions("chain_id", "seq").mapInPandas(run, S.AUDIT)
 
 
 def verify(audit: DataFrame, key: bytes | None = None, heads: DataFrame | None = None) -> DataFrame:
@@ -90,6 +102,22 @@ def verify(audit: DataFrame, key: bytes | None = None, heads: DataFrame | None =
     return out.select("chain_id", F.coalesce("records", F.lit(0)).alias("records"), F.col("bad").isNull().alias("ok"), F.col("bad.__i").alias("index"), F.col("bad.__why").alias("reason"))
 
 
+def append_batches(path: str, key: bytes | None = None, sensitive: Callable[[str], bool] | None = None):
+    """For foreachBatch: seals each batch of events onto the chains of the table at path. Each batch is written as a folder of
+    its own number, so a batch that is tried again replaces itself."""
+
+    def write(events: DataFrame, batch: int) -> None:
+        spark = events.sparkSession
+        try:
+            old = spark.read.option("basePath", path).parquet(path).where(F.col("batch") < batch)
+            heads = heads_of(old)
+        except AnalysisException:  # nothing is written yet
+            heads = None
+        seal(events, key, sensitive, heads).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return write
+
+
 def require_intact(audit: DataFrame, key: bytes | None = None, heads: DataFrame | None = None) -> None:
     bad = verify(audit, key, heads).where("NOT ok").first()
     if bad:

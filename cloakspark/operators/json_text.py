@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,13 +39,36 @@ def sanitize(text: Column, spec: dict | None = None, *, key_rules: dict[str, str
     return F.udf(run, S.SANITIZED, useArrow=True)(text)
 
 
+def sanitize_events(body: Column, spec: dict | None = None, *, limit: int = 1_000_000) -> Column:
+    """Event streams, event by event (blank lines end them): data that is JSON as JSON, the rest as text; an event over the limit is withheld."""
+    compile_pipeline(spec)
+    s = json.dumps(spec or {}, sort_keys=True)
+
+    def line(x: str) -> str:
+        head, colon, data = x.partition(":")
+        if head == "data" and colon:
+            try:
+                return "data: " + Sanitizer(cached(s)).run(data.strip())[0]
+            except ValueError:
+                pass
+        return cached(s).transform(x)[0]
+
+    def run(t):
+        if t is None:
+            return None
+        events = re.split(r"(\r?\n\r?\n)", t)
+        return "".join(e if i % 2 else "" if len(e) > limit else "\n".join(map(line, e.split("\n"))) for i, e in enumerate(events))
+
+    return F.udf(run, "string", useArrow=True)(body)
+
+
 def sanitize_body(content_type: Column, body: Column, spec: dict | None = None, *, limit: int = 5_000_000) -> Column:
     """Bodies by content type: JSON, texts, event streams (each event apart); others pass; too long ones are withheld (null)."""
     from .text import transform
 
     kind = F.lower(F.trim(F.substring_index(content_type, ";", 1)))
     is_json = kind.rlike(r"^(application|text)/(json|.*[+]json)$")
-    events = F.array_join(F.transform(F.split(body, r"\r?\n\r?\n", -1), lambda e: e), "\n\n")
     text = kind.rlike(r"^text/") | kind.isin("application/xml", "application/x-www-form-urlencoded")
-    done = F.when(is_json, sanitize(F.when(is_json, body), spec)["json"]).when(text, transform(F.when(text, F.when(kind == "text/event-stream", events).otherwise(body)), spec)["text"]).otherwise(body)
+    stream = kind == "text/event-stream"
+    done = F.when(is_json, sanitize(F.when(is_json, body), spec)["json"]).when(stream, sanitize_events(F.when(stream, body), spec)).when(text, transform(F.when(text & ~stream, body), spec)["text"]).otherwise(body)
     return F.when(F.length(body) > limit, F.lit(None)).otherwise(done)

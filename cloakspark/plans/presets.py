@@ -137,6 +137,27 @@ def spelled(spec: dict) -> str:
     return f"{spec['strategy']} ({options})" if options else spec["strategy"]
 
 
+#: What detection doesn't reach, by regulation, and what to do about it.
+GAPS = {
+    "gdpr": [("location data", "custom patterns, or drop the fields"), ("special categories in free text", "review, or leave the text out")],
+    "lgpd": [("RG, CNH and CEP numbers", "custom patterns"), ("sensitive data in free text", "review")],
+    "pipeda": [("provincial health cards, postal codes", "custom patterns")],
+    "hipaa": [("city, county and ZIP code", "rules by field"), ("dates other than of birth, ages over 89", "generalize by field"), ("device ids, biometrics, photographs", "drop the fields")],
+    "ccpa": [("browsing and purchase history, geolocation", "drop the fields"), ("inferences", "review")],
+    "pci-dss": [("card verification codes, PINs, track data", "never store them: drop the fields")],
+}
+
+
+def categories_frame(spark: SparkSession) -> DataFrame:
+    """category, prefix."""
+    return spark.createDataFrame(list(PREFIXES.items()), "category string, prefix string")
+
+
+def gaps_frame(spark: SparkSession) -> DataFrame:
+    """regulation, element, mitigation."""
+    return spark.createDataFrame([(r, e, m) for r, gaps in GAPS.items() for e, m in gaps], "regulation string, element string, mitigation string")
+
+
 def preset_matrix(spark: SparkSession) -> DataFrame:
     """preset, category, strategy."""
     rows = [(name, c, spelled(rules.get(c, default))) for name, (cs, default, rules) in PRESETS.items() for c in cs]
