@@ -47,12 +47,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to the shared checkpoint folder and read again."""
+    """The stages over documents, each written to the shared checkpoint folder and read again.
+
+    A stage's folder goes as soon as the next one's is written; the last one stays, as the result is read from it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{common.ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder, last = f"{common.ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}", None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{i}-{name}")
-            docs = spark.read.parquet(f"{folder}/{i}-{name}")
+            place = f"{folder}/{i}-{name}"
+            docs.write.parquet(place)
+            docs = spark.read.parquet(place)
+            if last:
+                path = spark._jvm.org.apache.hadoop.fs.Path(last)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            last = place
     return docs
