@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import cut, fresh, pick
 
 #: A line that more than this share of a host's documents contain is boilerplate.
 RATIO = 0.02
@@ -54,13 +54,14 @@ def dedup_lines(docs: DataFrame, *, text_col: str = "text", host_col: str = "sou
     """
     found = boilerplate(docs, text_col=text_col, host_col=host_col, ratio=ratio, least_pages=least_pages)
     # A host's lines above the ratio are at most its lines per document divided by the ratio: a bounded list.
-    lists = cut(found.groupBy("host").agg(F.sort_array(F.collect_set("line_hash")).alias("__drop")).withColumnRenamed("host", "__host"))
-    small = (lists.agg(F.sum(F.size("__drop") * 8 + 64)).first()[0] or 0) <= BROADCAST_BYTES
-    joined = docs.join(F.broadcast(lists) if small else lists, F.col(f"`{host_col}`").eqNullSafe(F.col("__host")), "left")
-    lines = _lines(F.col(f"`{text_col}`"))
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__drop"), _key(x)) | (F.trim(x) == ""))
-    text = F.when(F.col("__drop").isNull() | F.col(f"`{text_col}`").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
+    drop, host = fresh("drop", "host")
+    lists = cut(found.groupBy("host").agg(F.sort_array(F.collect_set("line_hash")).alias(drop)).withColumnRenamed("host", host))
+    small = (lists.agg(F.sum(F.size(drop) * 8 + 64)).first()[0] or 0) <= BROADCAST_BYTES
+    joined = docs.join(F.broadcast(lists) if small else lists, F.col(f"`{host_col}`").eqNullSafe(F.col(host)), "left")
+    lines, same = _lines(F.col(f"`{text_col}`")), F.col(drop).isNull() | F.col(f"`{text_col}`").isNull()
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(drop), _key(x)) | (F.trim(x) == ""))
+    text = F.when(same, F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
     columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if dropped_col:
-        columns.append(F.when(F.col("__drop").isNull() | F.col(f"`{text_col}`").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long").alias(dropped_col))
+        columns.append(F.when(same, F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long").alias(dropped_col))
     return joined.select(*columns)

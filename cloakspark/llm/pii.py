@@ -37,7 +37,7 @@ class Kind:
 KINDS = (
     # After a match, a local part may begin in the middle of a run: \G.
     Kind("email", rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@{LABEL}(?:\.{LABEL})++", "@", 0.85, r"e-?mail|contact|write to|courriel|kontakt|correo"),
-    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+", "0-9", 0.75, r"\bip\b|address|host|server|client|adresse"),
+    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+", "0-9", 0.75, r"(?:^|[^a-z])ip(?:[^a-z]|$)|address|host|server|client|adresse"),
     Kind("card", r"(?<![0-9])[0-9](?:[ -]?[0-9])++", "0-9", 0.8, r"card|visa|master|amex|credit|debit|carte|karte|tarjeta"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", 0.7, r"phone|tel|call|mobile|fax|fon|llame"),
     Kind("iban", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+", "0-9", 0.9, r"iban|bank|account|konto|compte|cuenta"),
