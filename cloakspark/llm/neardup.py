@@ -193,7 +193,7 @@ def _compare(threshold: float):
         for pdf in parts:
             if rest is not None:
                 pdf = pd.concat([rest, pdf], ignore_index=True)
-            new = np.flatnonzero((pdf[["key", "i", "j"]].diff().iloc[1:] != 0).any(axis=1).to_numpy()) + 1 if len(pdf) else []
+            new = np.flatnonzero(np.any([(x := pdf[c].to_numpy())[1:] != x[:-1] for c in ("key", "i", "j")], axis=0)) + 1
             bounds = [0, *new]
             out = [x for a, b in zip(bounds, bounds[1:]) if (x := group(pdf.iloc[a:b])) is not None]
             rest = pdf.iloc[bounds[-1] :]

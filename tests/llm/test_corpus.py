@@ -226,3 +226,23 @@ def test_pipeline_against_its_parts_by_brute_force(spark):
     for name, stage in pipeline.STAGES[:-1]:
         assert stage(spark, d, DIR).columns == d.columns, name
         assert stage(spark, d.limit(0), DIR).count() == 0
+
+
+def test_stages_with_nulls_repeats_long_texts_and_clashing_columns(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    base = [tuple(r) for r in spark.read.parquet(f"{DIR}/documents.parquet").limit(60).collect()]
+    rows = [(*r, 1, "x", 2.0, "s") for r in base]
+    rows += [(None, None, None, None, None, None, None, None, None), (7001, None, "en", "src1", None, 1, "x", 2.0, "s"), (7002, "", None, None, 0, 1, None, 2.0, "s"), (7003, "the and of " * 60_000, "en", "src0", 1, 1, "x", 2.0, "s")]
+    rows += [rows[0], rows[0], (7004, " \n\t", "en", None, 3, 1, "x", 2.0, "s")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, doc int, host string, n double, line_hash string"
+    d = spark.createDataFrame(rows, kind)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, d, DIR)
+        got = out.collect()
+        if name == "encoding":
+            assert len(got) == len(rows)
+        else:
+            assert out.columns == d.columns, name
+            ids = {r["doc_id"] for r in got}
+            assert (7003 in ids) and (None in ids or name == "language_id"), name
+            assert {7001, 7002, 7004} <= ids or name == "language_id", name
