@@ -38,17 +38,19 @@ def restore(text: Column, mapping: Column, lenient: bool = False) -> Column:
 
 
 def _prefix(category: Column) -> Column:
+    """The token prefix of a category; of others than the built-in ones, its capital letters and digits."""
     table = F.create_map(*[F.lit(x) for kv in PREFIXES.items() for x in kv])
-    return F.coalesce(F.element_at(table, category), F.udf(tk.prefix_of, "string", useArrow=True)(category))
+    clean = F.regexp_replace(F.substring(F.regexp_replace(F.regexp_replace(F.upper(category), "[^0-9A-Z]+", "_"), "^_+", ""), 1, 38), "_+$", "")
+    return F.coalesce(F.element_at(table, category), F.when(clean.rlike("^[A-Z]"), clean).when(clean == "", F.lit("X")).otherwise(F.concat(F.lit("X_"), clean)))
 
 
 def number_tokens(found: DataFrame, *scope: str, order: list[str], existing: DataFrame | None = None, shape: str = "bracket") -> DataFrame:
     """scope, category, value, token: each distinct value of a scope numbered by first appearance within its prefix.
 
-    found has category (of the built-in ones), value and the columns of order; existing holds earlier results, whose tokens and numbers
+    found has category, value and the columns of order; existing holds earlier results, whose tokens and numbers
     stay as they are. One row for each distinct value is ranked, not one for each appearance.
     """
-    p = F.element_at(F.create_map(*[F.lit(x) for kv in PREFIXES.items() for x in kv]), F.col("category"))
+    p = _prefix(F.col("category"))
     first = found.groupBy(*scope, "category", "value").agg(F.min(F.struct(*order)).alias("__at"))
     a, b, pad = tk.SHAPES[shape]
     offset = F.lit(0)

@@ -165,6 +165,11 @@ def test_scopes_round_trip(spark):
     assert {r["token"] for r in new.where("value = 'z@z.co'").collect()} == {"[EMAIL_0003]"} and new.count() == 4
 
 
+def test_numbering_of_own_categories(spark):
+    df = spark.createDataFrame([(1, "my own!", "a", 0), (1, "9", "b", 1), (1, "é", "c", 2)], "s long, category string, value string, n int")
+    assert {r["token"] for r in vault.number_tokens(df, "s", order=["n"]).collect()} == {"[MY_OWN_0001]", "[X_9_0001]", "[X_0001]"}
+
+
 def test_vault(spark):
     ring = tk.KeyRing("t", material=b"k" * 32)
     df = spark.createDataFrame([("Ann", "s1"), ("Bob", "s1"), ("Bob", "s2"), (None, "s3")], "v string, s string")
