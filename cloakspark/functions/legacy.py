@@ -15,6 +15,8 @@ import regex
 from . import checksums as ck
 from .patterns import rx
 
+_DIGIT = rx("%d")
+
 #: category, value, start, end, confidence
 Match = tuple[str, str, int, int, float]
 Confidence = Callable[[str, bool], "float | None"]
@@ -36,8 +38,14 @@ class Table:
     label_flags: str = "i"
 
 
+def _labelled_only(f: Confidence) -> Confidence:
+    """Marks a confidence that nothing has without a label: where a text has none, its pattern needn't be tried."""
+    f.labelled_only = True
+    return f
+
+
 def near(c: float) -> Confidence:
-    return lambda value, labelled: c if labelled else None
+    return _labelled_only(lambda value, labelled: c if labelled else None)
 
 
 def by(far: float, close: float) -> Confidence:
@@ -45,7 +53,8 @@ def by(far: float, close: float) -> Confidence:
 
 
 def valid(check: Callable[[str], bool], then: float | Confidence) -> Confidence:
-    return lambda value, labelled: (then(value, labelled) if callable(then) else then) if check(value) else None
+    f = lambda value, labelled: (then(value, labelled) if callable(then) else then) if check(value) else None
+    return _labelled_only(f) if hasattr(then, "labelled_only") else f
 
 
 def raised(c: float, more: float, most: float, needs: bool = False, check: Callable[[str], bool] | None = None) -> Confidence:
@@ -54,7 +63,7 @@ def raised(c: float, more: float, most: float, needs: bool = False, check: Calla
             return None
         return min(c + more, most) if labelled else c
 
-    return rule
+    return _labelled_only(rule) if needs else rule
 
 
 def _label_ends(pattern: str, flags: str, text: str) -> list[int]:
@@ -65,6 +74,11 @@ def scan_table(category: str, table: Table, text: str) -> list[Match]:
     out, seen, ends = [], set(), {}
     for rule in table.rules:
         label = rule.label or table.label
+        if label and hasattr(rule.confidence, "labelled_only"):
+            if label not in ends:
+                ends[label] = _label_ends(label, table.label_flags, text)
+            if not ends[label]:
+                continue
         for m in rx(rule.pattern, rule.flags).finditer(text):
             if (m.start(), m.end()) in seen:
                 continue
@@ -406,6 +420,9 @@ _US = (
 _LABELLED = "(?:" + "|".join(r"mailing address|billing address|home address|office address|headquartered at|residence|resides at|shipped? to|located at|lives at|address(?:ed to)?".split("|")) + r")%s*:?%s*([^,\n]{10,80})"
 
 
+_ADDRESS_WORDS = ("address", "lives at", "located at", "ship", "residence", "resides at", "headquartered")
+
+
 def _address(text: str) -> list[Match]:
     found: dict[tuple[int, int], Match] = {}
     streets: list[tuple[int, int]] = []
@@ -413,7 +430,8 @@ def _address(text: str) -> list[Match]:
     def put(value: str, start: int, end: int, c: float) -> None:
         found.setdefault((start, end), ("address", value, start, end, c))
 
-    for m in rx(_US, "i").finditer(text):
+    digits = _DIGIT.search(text) is not None  # only labelled addresses have none
+    for m in rx(_US, "i").finditer(text) if digits else ():
         put(m[0], m.start(), m.end(), 0.8)
     absorbed: set[tuple[int, int]] = set()
     for p in (
@@ -421,7 +439,7 @@ def _address(text: str) -> list[Match]:
         rf"{_NOT}%d{{1,4}}(?:%s?(?:ter|bis))?,?%s+{_TYPE}%s+{_STREET}{_TOWN}",
         rf"{_NOT}{_TYPE}%s+{_STREET},?%s+(?:n[o.º°]%s?)?%d{{1,5}}[A-Za-z]?(?![0-9\p{{L}}]){_TOWN}",
     ):
-        for m in rx(p, "p").finditer(text):
+        for m in rx(p, "p").finditer(text) if digits else ():
             a, b = m.span()
             live = [k for k in found if k not in absorbed]
             if any(s <= a and b <= e for s, e in live):
@@ -430,9 +448,10 @@ def _address(text: str) -> list[Match]:
             put(m[0], a, b, 0.8)
             streets.append((a, b))
     for p, c in ((r"~%u{1,2}%d%m?%s*%d%u{2}~", 0.78), (r"~P\.?O\.?%s+Box%s+%d+~", 0.85)):
-        for m in rx(p, "i").finditer(text):
+        for m in rx(p, "i").finditer(text) if digits else ():
             put(m[0], m.start(), m.end(), c)
-    for m in rx(_LABELLED, "i").finditer(text):
+    low = text.lower()
+    for m in rx(_LABELLED, "i").finditer(text) if any(map(low.__contains__, _ADDRESS_WORDS)) else ():
         value = m[1].strip()
         at = text.find(value, m.start())
         if at >= 0 and not any(s <= at and at + len(value) <= e for s, e in streets):
@@ -462,6 +481,15 @@ def _pix(text: str) -> list[Match]:
 _PIX_KEY = Table((Rule("~[0-9a-f]{8}" + "-[0-9a-f]{4}" * 3 + "-[0-9a-f]{12}~", near(0.9), "i"),), "~(?:pix(?:%s+key)?|chave%s+(?:pix|aleat[óÓo]ria))" + _END, 30)
 
 
+_KEY_PARTS = rx("AKIA|_live_|_test_|gh[oprs]_|github_pat_|xox[abps]-|sk-|AIza|eyJ")
+
+
+def _api_key(text: str) -> list[Match]:
+    """The vendors' patterns only where a part that one of them must have occurs."""
+    table = TABLES["api-key"]
+    return scan_table("api-key", table if _KEY_PARTS.search(text) else Table(table.rules[-1:], table.label, table.reach), text)
+
+
 def _bank(text: str) -> list[Match]:
     found: dict[tuple[int, int], Match] = {}
     for m in _pix(text) + scan_table("bank-account", _PIX_KEY, text) + scan_table("bank-account", TABLES["bank-account"], text):
@@ -477,14 +505,20 @@ CATEGORIES = (
     "email phone ssn credit-card ipv4 ipv6 url iban date-of-birth name address passport drivers-license national-id bank-account cryptocurrency "
     "tax-id medical-record health-insurance prescription api-key social-media vin license-plate tracking-number case-number company-registration"
 ).split()
-_OWN = {"phone": _phone, "date-of-birth": _birth, "name": _name, "address": _address, "bank-account": _bank}
-_DIGIT = rx("%d")
+_OWN = {"phone": _phone, "date-of-birth": _birth, "name": _name, "address": _address, "bank-account": _bank, "api-key": _api_key}
 #: Cheap tests that every text with a match of the category passes.
 PREFILTERS: dict[str, Callable[[str], bool]] = {
     "email": lambda t: "@" in t,
     "url": lambda t: "://" in t,
     "ipv6": lambda t: ":" in t,
-    **dict.fromkeys("phone ssn credit-card ipv4 iban date-of-birth passport prescription case-number".split(), lambda t: _DIGIT.search(t) is not None),
+    "national-id": lambda t: _DIGIT.search(t) is not None or rx(_NATIONAL_LABEL, "i").search(t) is not None,
+    "social-media": lambda t: "@" in t or "/" in t or "UC" in t or _DIGIT.search(t) is not None,
+    # A digit, or as many capital letters in a row as the shortest value has.
+    **{c: (lambda t, p=rx(f"%d|%u{{{n}}}"): p.search(t) is not None) for c, n in {"tax-id": 8, "bank-account": 8, "health-insurance": 8, "medical-record": 6, "drivers-license": 5, "company-registration": 5, "license-plate": 2}.items()},
+    "address": lambda t: _DIGIT.search(t) is not None or any(map(t.lower().__contains__, _ADDRESS_WORDS)),
+    "cryptocurrency": lambda t: rx("%z{25}").search(t) is not None,
+    "vin": lambda t: rx("%z{17}").search(t) is not None,
+    **dict.fromkeys("phone ssn credit-card ipv4 iban date-of-birth passport prescription case-number tracking-number".split(), lambda t: _DIGIT.search(t) is not None),
 }
 
 

@@ -238,3 +238,11 @@ def test_bounds_on_hard_inputs():
     within(20, lambda: [stream.push("k" * 16) for _ in range(5_000)])
     stream.flush()
     assert stream.scans < 40
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(texts, st.lists(st.sampled_from([t for _, t, _ in CASES] + ["MRN:", "member id: ABCDEFGH", "identity: ABCDEFGHI", "lives at the old mill house", "TIN DEABCDEFGHIJ", "DL ABCDE", "plate AB", "company no AB-ABCDE"]), max_size=5).map(" ".join)))
+def test_first_generation_prefilters_hide_nothing(text):
+    for category, passes in legacy.PREFILTERS.items():
+        if not passes(text):
+            assert (legacy._OWN.get(category) or legacy._table(category))(text) == []
