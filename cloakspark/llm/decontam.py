@@ -23,7 +23,7 @@ EDITS = 0.075
 #: Diagonals between the beginnings of two bands.
 STEP = 16
 #: Characters of benchmark items that tasks hold at once; more items are looked for in several passes.
-ITEM_CHARS = 1 << 24
+ITEM_CHARS = 1 << 20
 #: Characters of text that a task searches at once.
 AT_ONCE = 1 << 20
 #: Bits of the table that says which q-grams are worth a look.
