@@ -268,8 +268,10 @@ def hash_column(value: Column, pepper: str | None = None, truncate: int = 16) ->
 def generalize_column(value: Column, bucket_size: int = 10) -> Column:
     """Of a number or of a text that is one; other texts stay."""
     text = value.cast("string")
-    trimmed = F.trim(text)
-    n = F.when(trimmed == "", 0.0).otherwise(trimmed.try_cast("double"))
+    trimmed = F.regexp_replace(text, r"\A[\s\xa0\ufeff\u2028\u2029]+|[\s\xa0\ufeff\u2028\u2029]+\z", "")
+    plain = F.when(trimmed.rlike(r"\A[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\z"), trimmed.try_cast("double"))
+    based = lambda mark, digits, base: F.when(trimmed.rlike(rf"\A0{mark}{digits}{{1,12}}\z"), F.conv(F.substring(trimmed, F.lit(3), F.length(trimmed)), base, 10).cast("double"))
+    n = F.when(trimmed == "", 0.0).otherwise(F.coalesce(plain, based("[xX]", "[0-9a-fA-F]", 16), based("[oO]", "[0-7]", 8), based("[bB]", "[01]", 2)))
     finite = n.isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf"))
     low = F.floor(F.floor(n) / bucket_size) * bucket_size
     return F.when(finite, F.concat_ws("-", low.cast("long"), (low + bucket_size - 1).cast("long"))).otherwise(text)

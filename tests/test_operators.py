@@ -18,7 +18,7 @@ from cloakspark.streaming import chunks
 
 
 def test_strategies_as_columns_and_in_python_agree(spark):
-    values = ["", "Ab9-ß x", "12345", "-7", " 42 ", "1e2", "no", "😀é Ǆ", "Customer#1"]
+    values = ["", "Ab9-ß x", "12345", "-7", " 42 ", "1e2", "no", "0x1F", "0b11", "0o17", "1d", "NaN", "Infinity", "\t5\n", ".5", "5.", "+7", "😀é Ǆ", "Customer#1"]
     df = spark.createDataFrame([(v,) for v in [*values, None]], "v string").coalesce(1)
     v = F.col("v")
     pairs = [
