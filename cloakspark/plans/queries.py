@@ -488,7 +488,7 @@ def sealed_tokens(spark, d):
 @query("vault_put_if_absent", "SELECT count(DISTINCT c_name) AS n FROM customer")
 def vault_put_if_absent(spark, d):
     ring = _ring()
-    return vault.put_if_absent(_vault(spark, d, ring, "c_custkey % 2 = 0"), _vault(spark, d, ring)).agg(F.count("*").alias("n"))
+    return vault.put_if_absent(_vault(spark, d, ring, "c_acctbal < 0"), _vault(spark, d, ring)).agg(F.count("*").alias("n"))
 
 
 @query("vault_get", "SELECT DISTINCT c_name AS value FROM customer")
@@ -512,12 +512,12 @@ def vault_rewrap(spark, d):
     return vault.get(v, ring).join(v.select("token", "key_id"), "token").select("value", "key_id")
 
 
-@query("vault_shred_key", "SELECT count(DISTINCT c_name) AS n FROM customer WHERE c_custkey % 3 = 0")
+@query("vault_shred_key", "SELECT count(DISTINCT c_name) AS n FROM customer WHERE c_acctbal >= 0")
 def vault_shred_key(spark, d):
     ring = _ring()
-    old = _vault(spark, d, ring, "c_custkey % 3 <> 0")
+    old = _vault(spark, d, ring, "c_acctbal < 0")
     ring.rotate(b"f" * 32)
-    both = old.unionByName(_vault(spark, d, ring, "c_custkey % 3 = 0"))
+    both = old.unionByName(_vault(spark, d, ring, "c_acctbal >= 0"))
     return vault.shred_key(both, ring, "k1").agg(F.count("*").alias("n"))
 
 
