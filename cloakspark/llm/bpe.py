@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 from .common import give_back, pick, text_batches
 
 #: Pieces that a worker keeps in each of two generations; when the newer is full, it replaces the older.
-CACHE_ENTRIES = 1 << 17
+CACHE_ENTRIES = 1 << 16
 #: Bytes of text that a task encodes at once.
 AT_ONCE = 1 << 20
 

@@ -25,7 +25,7 @@ STEP = 16
 #: Characters of benchmark items that tasks hold at once; more items are looked for in several passes.
 ITEM_CHARS = 1 << 20
 #: Characters of text that a task searches at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 #: Bits of the table that says which q-grams are worth a look.
 TABLE_BITS = 20
 

@@ -31,7 +31,7 @@ UNDETERMINED = "und"
 #: Share of clean validation windows that calibration lets be rejected.
 REJECTED_SHARE = 0.0005
 #: Bytes that a task turns into subwords at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 
 _FOLD = np.full(256, 32, dtype=np.uint8)
 _FOLD[128:] = np.arange(128, 256)
