@@ -36,7 +36,7 @@ def sanitize(text: Column, spec: dict | None = None, *, key_rules: dict[str, str
         except Exception as e:  # noqa: BLE001 - withheld
             return None, [], 0, [], [], type(e).__name__
 
-    return F.udf(run, S.SANITIZED, useArrow=True)(text)
+    return F.udf(run, S.SANITIZED, useArrow=True).asNondeterministic()(text)
 
 
 def sanitize_events(body: Column, spec: dict | None = None, *, limit: int = 1_000_000) -> Column:

@@ -17,7 +17,9 @@ from ..plans.spec import Legacy, cached, compile_pipeline
 
 
 def _udf(f, kind: str):
-    return F.udf(f, kind, useArrow=True)
+    """Called non-deterministic so that a text is read once: else filters that follow, also those which an explode implies, are
+    pushed below and call the function again."""
+    return F.udf(f, kind, useArrow=True).asNondeterministic()
 
 
 def detect(text: Column, categories=None, *, aggressive: bool = False, detectors: dict | None = None) -> Column:

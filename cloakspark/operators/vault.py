@@ -29,7 +29,7 @@ def tokenize(text: Column, categories=None, shape: str = "bracket") -> Column:
         except Exception as e:  # noqa: BLE001 - withheld
             return None, None, None, type(e).__name__
 
-    return F.udf(run, S.TOKENIZED, useArrow=True)(text)
+    return F.udf(run, S.TOKENIZED, useArrow=True).asNondeterministic()(text)
 
 
 def restore(text: Column, mapping: Column, lenient: bool = False) -> Column:
