@@ -2,6 +2,8 @@
 
 Documents are grouped by host. A line's frequency is the number of the host's documents that contain it, divided by
 the number of the host's documents; lines above a boilerplate ratio are dropped from all of the host's documents.
+With copies_once, equal texts of a host count as one document and what is mostly shared text stays whole, so that
+groups of copies are left to near-dedup.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from .common import cut, fresh, pick
 RATIO = 0.02
 #: Hosts with fewer documents have no frequency to speak of: there, as many documents must contain the line.
 LEAST_PAGES = 10
+#: With copies_once, a text of which less than this share of the characters would stay is a copy with edits: it stays whole.
+LEAST_KEPT = 0.5
 #: Bytes of boilerplate digests, all hosts together, that may be broadcast; more are joined by shuffling.
 BROADCAST_BYTES = 32 << 20
 
@@ -32,27 +36,32 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies_once: bool = False) -> DataFrame:
     """host, line_hash, n_docs, n_pages of all lines above the ratio; blank lines are none, null hosts are one host.
 
-    Lines are counted once for each document, in partial sums before they are shuffled by host and line, so that a hot
-    host is spread over all tasks.
+    Lines are counted once for each document, or with copies_once for each distinct text of the host, in partial sums
+    before they are shuffled by host and line, so that a hot host is spread over all tasks.
     """
+    hashes = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _key))
     d = pick(docs, text=text_col, host=host_col)
+    if copies_once:  # only digests of texts and lines are shuffled
+        d = d.select("host", F.xxhash64("text").alias("text_hash"), F.length("text").alias("n"), hashes.alias("hashes"))
+        d, hashes = cut(d.groupBy("host", "text_hash", "n").agg(F.first("hashes").alias("hashes"))), F.col("hashes")
     pages = d.groupBy("host").agg(F.count("*").alias("n_pages"))
-    hashes = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _key))
     counts = d.select("host", F.explode(hashes).alias("line_hash")).groupBy("host", "line_hash").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= least_pages)
     return counts.join(F.broadcast(pages) if pages.count() <= 1 << 16 else pages, counts.host.eqNullSafe(pages.host)).where(F.col("n_docs") > F.col("n_pages") * F.lit(ratio)).select(counts.host, "line_hash", "n_docs", "n_pages")
 
 
-def dedup_lines(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, dropped_col: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, dropped_col: str | None = None, copies_once: bool = False) -> DataFrame:
     """docs with the boilerplate lines of their hosts dropped from the text, and the number of dropped lines as dropped_col if named.
 
     All other columns stay as they are. Lines end at \\n and are compared without surrounding spaces; blank lines are
     never boilerplate. Null texts stay null, a text of boilerplate only becomes empty, documents that contain a line
     several times lose it each time and count once, rows with a null host count as one host, an empty table stays one.
+    With copies_once, equal texts of a host count once, and a text that would keep less than LEAST_KEPT of the
+    characters of its lines stays as it is.
     """
-    found = boilerplate(docs, text_col=text_col, host_col=host_col, ratio=ratio, least_pages=least_pages)
+    found = boilerplate(docs, text_col=text_col, host_col=host_col, ratio=ratio, least_pages=least_pages, copies_once=copies_once)
     # A host's lines above the ratio are at most its lines per document divided by the ratio: a bounded list.
     drop, host = fresh("drop", "host")
     lists = cut(found.groupBy("host").agg(F.sort_array(F.collect_set("line_hash")).alias(drop)).withColumnRenamed("host", host))
@@ -60,6 +69,10 @@ def dedup_lines(docs: DataFrame, *, text_col: str = "text", host_col: str = "sou
     joined = docs.join(F.broadcast(lists) if small else lists, F.col(f"`{host_col}`").eqNullSafe(F.col(host)), "left")
     lines, same = _lines(F.col(f"`{text_col}`")), F.col(drop).isNull() | F.col(f"`{text_col}`").isNull()
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col(drop), _key(x)) | (F.trim(x) == ""))
+    if copies_once:
+        chars = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(F.trim(x)))
+        # Over an array of one, so that the lines are looked up once.
+        kept = F.get(F.transform(F.array(kept), lambda k: F.when(chars(k) < chars(lines) * F.lit(LEAST_KEPT), lines).otherwise(k)), F.lit(0))
     text = F.when(same, F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
     columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if dropped_col:

@@ -20,8 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the boilerplate lines of their sources; n_chars is that of the new text."""
-    out = linededup.dedup_lines(docs)
+    """All documents, without the boilerplate lines of their sources; copies stay for near_dedup; n_chars is that of the new text."""
+    out = linededup.dedup_lines(docs, copies_once=True)
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in out.columns])
 
 

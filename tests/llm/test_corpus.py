@@ -84,6 +84,26 @@ def test_line_dedup_against_brute_force(spark):
     assert linededup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_copy_groups_reach_near_dedup(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    copy, near = ["\n".join(say(12) for _ in range(20)) for _ in range(2)]
+    rows = [(i, "Menu of the site\n" + "\n".join(say(12) for _ in range(6)), "en", "a") for i in range(60)]
+    rows += [(100 + i, copy, "en", "a") for i in range(30)]
+    for i in range(30):
+        lines = near.split("\n")
+        lines[i % 20] = lines[i % 20] + f" edit{i}"
+        rows.append((200 + i, "\n".join(lines), "en", "a"))
+    out = pipeline.line_dedup(spark, docs(spark, rows), "")
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert all(got[i]["text"] == t.replace("Menu of the site\n", "") for i, t, *_ in rows) and got[100]["n_chars"] == len(copy)
+    left = {r["doc_id"] for r in pipeline.near_dedup(spark, out, "").collect()}
+    assert left == {*range(60), 100, 200}
+    found = {(r["n_docs"], r["n_pages"]) for r in linededup.boilerplate(docs(spark, rows[:90]), copies_once=True).collect()}
+    assert found == {(60, 61)}
+
+
 def test_hosts(spark):
     urls = ["http://A.example.org/x?y", "https://u@b.example:8080", "ftp://c", "no url", None]
     df = spark.createDataFrame([(u,) for u in urls], "url string").select(linededup.host_of(linededup.F.col("url")).alias("h"))
