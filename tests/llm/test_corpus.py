@@ -225,6 +225,24 @@ def test_lm_prefers_the_corpus_order_and_equals_a_loop(spark, monkeypatch):
     assert lm.score(docs(spark, [])).count() == 0
 
 
+def test_lm_scores_each_rare_word_by_its_own_count(spark, monkeypatch):
+    monkeypatch.setattr(lm, "RUN", 4000)
+    rows = [(i, " ".join(f"c{j}" for j in range(lm.WORDS) for _ in range(2)), None, None) for i in range(30)]
+    hashed = lambda w: int(lm.word_hashes([w.encode()])[0][0])
+    of = lambda w: hashed(w) % (lm.TOKENS - lm.WORDS - 1)
+    known = [f"k{j}" for j in range(200) if of(f"k{j}") == of("k0")][:2]
+    rows += [(100 + i, f"c0 {known[0]} c1", None, None) for i in range(20)] + [(200, f"c0 {known[1]} c1", None, None), (201, f"c0 {known[0]} {known[0]} {known[1]}", None, None), (None, None, None, None)]
+    got = {r["doc_id"]: r for r in lm.score(docs(spark, rows), steps=5).collect()}
+    assert len(got) == len(rows) and got[None]["n_tokens"] == 0
+    assert abs(got[100]["log_likelihood"] - got[200]["log_likelihood"] - np.log(22 / 2)) < 1e-6
+    d = lm.pick(docs(spark, rows), doc="doc_id", text="text")
+    vocab = lm.vocabulary(d)
+    table = lm.train(lm.contexts(d, vocab), steps=5).table()
+    x = [0, *lm.tokens(lm.word_hashes([rows[-2][1].encode()])[0], vocab), 0]
+    want = sum(float(table[x[j - 1] * lm.TOKENS + x[j + 1], x[j]]) for j in range(1, len(x) - 1)) + 2 * np.log(22 / 24) + np.log(2 / 24)
+    assert abs(got[201]["log_likelihood"] - want) < 1e-3
+
+
 # The pipeline
 
 
