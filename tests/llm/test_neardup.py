@@ -57,6 +57,30 @@ def test_against_brute_force(spark, k, monkeypatch):
     same(spark, corpus() + [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (5, "one"), (6, "x y"), (6, "p q"), (7, "P q")], k)
 
 
+def test_hot_buckets_in_small_cells(spark, monkeypatch):
+    for name, value in {"HOT_SAMPLE": 1, "HOT_LEAST": 6, "HOT_SHARE": 0, "CELL_DOCS": 3, "CELL_ELEMENTS": 500, "KEYS_AT_ONCE": 512, "BLOCK": 8}.items():
+        monkeypatch.setattr(neardup, name, value)
+    rng = random.Random(9)
+    shared, rows = [f"s{i}" for i in range(60)], []
+    for i in range(90):  # halves in common, and copies of one with an edit each
+        rows.append((500 + i, " ".join(shared + [f"own{i}.{j}" for j in range(rng.choice([10, 14, 60]))])))
+        rows.append((700 + i, " ".join([f"c{j}" if j != i else f"edit{i}" for j in range(90)])))
+    same(spark, rows, 2)
+
+
+def test_packed_entries_survive():
+    rng = np.random.default_rng(4)
+    for kind in (np.uint64, np.int64):
+        x = rng.integers(0, 1 << 62, 1000).astype(kind)
+        assert (neardup._unplanes(neardup._planes(x), kind) == x).all()
+
+
+def test_very_long_text(spark):
+    base = [f"w{i}" for i in range(120_000)]
+    other = [w if i % 40 else f"x{i}" for i, w in enumerate(base)]
+    same(spark, [(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(base[:60_000])), (4, "the " * 300_000), (5, "The " * 299_000)], 2)
+
+
 def test_empty_table_and_null_ids(spark):
     same(spark, [], 2)
     got = neardup.near_duplicates(spark.createDataFrame([(None, "a b c"), (1, "a b c")], "doc_id long, text string"), k=2).collect()
