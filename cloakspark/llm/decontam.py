@@ -3,7 +3,11 @@
 Each benchmark item is looked for in overlapping windows. A region of a text that is within k edits of a window of m
 characters shares at least m + 1 - q (k + 1) of its q-grams with it, all on diagonals at most k apart. So the shared
 q-grams are counted in overlapping bands of diagonals; bands that reach the bound are verified by banded alignment.
-The filter loses no region; what remains has an edit distance that was computed.
+The filter loses no region; what remains has an edit distance that was computed. Items of fewer than q characters have
+no q-gram and are looked for as they are.
+
+Documents are searched many at a time, laid end to end between gaps whose characters no alignment may take, and each
+begins at a multiple of the bands' distance: what is found in a document doesn't depend on its neighbours.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ WINDOW = 50
 EDITS = 0.075
 #: Diagonals between the beginnings of two bands.
 STEP = 16
+#: What fills the space between documents: no character, and at least so many of it that no band reaches two documents.
+GAP, GAP_CHAR = 128, 0xFFFFFFFE
 #: Characters of benchmark items that tasks hold at once; more items are looked for in several passes.
 ITEM_CHARS = 1 << 20
 #: Characters of text that a task searches at once.
@@ -69,8 +75,12 @@ class Index:
         self.windows: list[tuple[int, int, np.ndarray]] = []  # item, begin, characters
         for key, text in items:
             x = folded(text)
-            self.windows += [(key, a, x[a:b]) for a, b in item_windows(len(x)) if b - a >= Q]
-        grams = [qgrams(w) for _, _, w in self.windows]
+            self.windows += [(key, a, x[a:b]) for a, b in item_windows(len(x)) if b > a]
+        self.short: dict[int, list[int]] = {}  # windows without a q-gram, by length
+        for w, (_, _, x) in enumerate(self.windows):
+            if len(x) < Q:
+                self.short.setdefault(len(x), []).append(w)
+        grams = [qgrams(w) if len(w) >= Q else np.zeros(0, np.uint32) for _, _, w in self.windows]
         hashes = np.concatenate(grams) if grams else np.zeros(0, np.uint32)
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
@@ -106,13 +116,31 @@ class Index:
     def matches(self, x: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(window, begin, end, edits) of the verified regions of x; of a band's alignments, the best one that ends first."""
         found = self.regions(x)
-        out = []
+        out = self._exact(x)
         for a in range(0, len(found), 4096):
             out += self._align(x, found[a : a + 4096])
         return out
 
+    def _exact(self, x: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """All places of the windows that are too short for a q-gram."""
+        out = []
+        for n, own in self.short.items():
+            if len(x) < n:
+                continue
+            h = np.zeros(len(x) - n + 1, dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                for i in range(n):
+                    h = h * np.uint64(0x9E3779B97F4A7C15) + x[i : len(x) - n + 1 + i]
+                keys = [int(sum(int(c) * pow(0x9E3779B97F4A7C15, n - 1 - i, 1 << 64) for i, c in enumerate(self.windows[w][2])) & (2**64 - 1)) for w in own]
+            at = np.flatnonzero(np.isin(h, np.array(keys, dtype=np.uint64)))
+            for w, key in zip(own, keys):
+                for a in at[h[at] == np.uint64(key)].tolist():
+                    if (x[a : a + n] == self.windows[w][2]).all():
+                        out.append((w, a, a + n, 0))
+        return out
+
     def _align(self, x: np.ndarray, found: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-        """Banded alignment of all found regions at once: column c of row i is the character before begin + i + c."""
+        """Banded alignment of all found regions at once: column c of row i is the character before begin + i + c. Gaps can't be aligned with anything."""
         m = max((len(self.windows[w][2]) for w, _ in found), default=0)
         kmax = int(self.k.max(initial=0))
         wide = STEP + 3 * kmax + 2
@@ -121,7 +149,7 @@ class Index:
         pattern = np.full((len(found), m), 0xFFFFFFFF, dtype=np.uint32)
         for r, (w, _) in enumerate(found):
             pattern[r, : size[r]] = self.windows[w][2]
-        padded = np.concatenate([np.full(WINDOW + kmax + 1, 0xFFFFFFFE, np.uint32), x, np.full(m + wide + kmax + 1, 0xFFFFFFFE, np.uint32)])
+        padded = np.concatenate([np.full(WINDOW + kmax + 1, GAP_CHAR, np.uint32), x, np.full(m + wide + kmax + 1, GAP_CHAR, np.uint32)])
         big = 1 << 20
         col = np.arange(wide)
         d = np.zeros((len(found), wide), dtype=np.int64)
@@ -131,7 +159,7 @@ class Index:
         place = begin + WINDOW + kmax + 1
         for i in range(m):
             ch = padded[np.clip(place[:, None] + i + col[None, :], 0, len(padded) - 1)]
-            cost = d + (ch != pattern[:, i : i + 1])  # to the same column: one character of each
+            cost = d + np.where(ch == GAP_CHAR, big, ch != pattern[:, i : i + 1])  # to the same column: one character of each
             up = np.concatenate([d[:, 1:], np.full((len(found), 1), big)], axis=1) + 1  # a pattern character left out
             from_up = up < cost
             best = np.where(from_up, up, cost)
@@ -154,14 +182,14 @@ class Index:
 def _search(items: list[tuple[int, str | None]]):
     def run(parts):
         index = Index(items)
-        gap = np.full(WINDOW, 0xFFFFFFFE, np.uint32)
         for doc, own in text_batches(parts, AT_ONCE):
             texts = [folded(t) for t in own]
-            starts = np.cumsum([0] + [len(t) + WINDOW for t in texts[:-1]])
+            gaps = [GAP + -len(t) % STEP for t in texts]
+            starts = np.cumsum([0] + [len(t) + g for t, g in zip(texts, gaps[:-1])])
             best: dict[tuple[int, int], list[int]] = {}
-            for w, begin, end, edits in index.matches(np.concatenate([y for t in texts for y in (t, gap)])):
+            for w, begin, end, edits in index.matches(np.concatenate([y for t, g in zip(texts, gaps) for y in (t, np.full(g, GAP_CHAR, np.uint32))])):
                 i = int(np.searchsorted(starts, begin, side="right")) - 1
-                begin, end = begin - int(starts[i]), min(end - int(starts[i]), len(texts[i]))
+                begin, end = begin - int(starts[i]), end - int(starts[i])
                 have = best.setdefault((i, index.windows[w][0]), [begin, end, edits, 0])
                 have[:] = [min(have[0], begin), max(have[1], end), min(have[2], edits), have[3] + 1]
             rows = [(i, item, *v) for (i, item), v in sorted(best.items())]
@@ -187,7 +215,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     out = None
     for i in range(max(1, blocks)):
         items = sorted((r["item"], r["text"]) for r in b.where(F.pmod(F.xxhash64("item"), F.lit(max(1, blocks))) == i).collect())
-        part = d.where(F.length("text") >= Q).mapInArrow(_search(items), "doc_id long, item_id long, start long, end long, edits long, regions long")
+        part = d.where(F.length("text") > 0).mapInArrow(_search(items), "doc_id long, item_id long, start long, end long, edits long, regions long")
         out = part if out is None else out.unionAll(part)
     return out
 

@@ -150,6 +150,44 @@ def test_decontamination_against_alignment_of_everything(spark):
     assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(i for i, *_ in rows if i is not None and i not in {d for d, _ in want})
 
 
+def in_region(item, text, window=50, step=25):
+    """Whether text holds a window of item within its edits, by the definition alone: windows, budgets and distances are computed here."""
+    fold = lambda t: [w.lower() if len(w.lower()) == 1 else w for w in "".join(" " if c in "\t\n\v\f\r" else c for c in t)]
+    p, x = fold(item), fold(text)
+    begins = [0] if len(p) <= window else sorted({*range(0, len(p) - window + 1, step), len(p) - window})
+    for a in begins:
+        w = p[a : a + window]
+        k = max(0, min(int(len(w) * 3 / 40), (len(w) - 8) // 8))
+        if w and semi_global(w, x) <= k:
+            return True
+    return False
+
+
+def test_decontamination_at_the_ends_of_documents_in_every_place_of_a_batch(spark):
+    rng = random.Random(11)
+    letters = "abcdefghijklmnop "
+    items = [(i, "".join(rng.choice(letters) for _ in range(n))) for i, n in enumerate((50, 50, 75, 120, 24))] + [(8, "qrstuv"), (9, "Wxyz")]
+    rows, n = [], 0
+    for i, t in items[:5]:
+        for cut in (1, 2, 3, 4):
+            for edge in (t[cut:], t[:-cut], "zz"[: cut % 3] + t[1:], t[: len(t) // 2] + t[len(t) // 2 + cut :]):
+                rows += [(n, "clean words of their own, nothing else in here", None, None), (n + 1, edge, None, None), (n + 2, rng.choice(["", "x", "tail"]), None, None)]
+                n += 3
+    rows += [(n, "qrstuv", None, None), (n + 1, "no QRSTUVW yz", None, None), (n + 2, "wxy z", None, None), (n + 3, "wxyz", None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(d, i) for d, t, *_ in rows for i, p in items if in_region(p, t)}
+    first = None
+    for parts in (1, 3, 7):
+        for _ in range(2):
+            rng.shuffle(rows)
+            got = sorted(map(tuple, decontam.leaks(docs(spark, rows).repartition(parts), bench).collect()))
+            assert {x[:2] for x in got} == want and all(0 <= x[2] < x[3] for x in got)
+            assert first is None or got == first
+            first = got
+    kept = {r["doc_id"] for r in decontam.decontaminate(docs(spark, rows), bench).collect()}
+    assert kept == {d for d, *_ in rows} - {d for d, _ in want}
+
+
 def test_decontamination_in_blocks_and_empty(spark, monkeypatch):
     d, b = spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/benchmark.parquet")
     whole = sorted(map(tuple, decontam.leaks(d, b).collect()))
