@@ -19,7 +19,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trial = r"\### Assistant: </turn> ok"
     mine = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trial).alias("text"))
-    return chat.digests(chat.read_back(chat.render(chat.fold(chat.as_events(talk.unionByName(mine))))))
+    return chat.digests(chat.read_back(chat.render(chat.fold(chat.as_streamed(talk.unionByName(mine))))))
 
 
 OP2_SQL = r"""

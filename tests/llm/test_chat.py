@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from cloakspark.llm import chat
 
@@ -59,3 +60,79 @@ def test_digests(spark):
     r = chat.digests(chat.read_back(chat.render(chat.fold(chat.as_events(df))))).first()
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (3, sha("user\na\\\nassistant\n\nassistant\né😀\n"), 2, sha("é😀"))
+
+
+def interpreter(rows):
+    """What a sequential reader of the docstring of fold makes of a log: (conversation, turn, message number) to (role, text)."""
+    rank = {"message": 0, "regenerate": 1, "edit": 2}
+    groups, out = {}, {}
+    for c, t, seq, kind, role, text in rows:
+        groups.setdefault((c, t), []).append((seq, rank.get(kind, 3), role or "", text or "", kind))
+    for key, log in groups.items():
+        messages = []
+        for seq, _, role, text, kind in sorted(log):
+            if kind == "message" or not messages:
+                messages.append([])
+            messages[-1].append((seq, kind, role, text))
+        groups[key] = messages
+    for c in {c for c, _ in groups}:
+        at = [(t, i, m) for t in sorted(t for k, t in groups if k == c) for i, m in enumerate(groups[c, t])]
+        dropped = None
+        for t, i, m in at:
+            text, alive, again = "", False, None
+            for seq, kind, _, x in m:
+                if kind == "regenerate":
+                    text, alive, again = "", False, seq
+                elif kind in ("message", "edit"):
+                    text, alive = "", False
+                if kind != "regenerate" and (dropped is None or seq > dropped):
+                    text, alive = text + x, True
+            if alive or dropped is None or (again is not None and again > dropped):
+                out[c, t, i] = (next((r for _, _, r, _ in m if r), ""), text)
+            if again is not None:
+                dropped = again if dropped is None else max(dropped, again)
+    return out
+
+
+def test_fold_against_a_sequential_interpreter(spark):
+    rng = random.Random(7)
+    rows = []
+    for c in range(300):
+        for seq in rng.sample(range(40), rng.randint(1, 14)):
+            rows.append((c, rng.randrange(4), seq, rng.choice(["message", "delta", "delta", "edit", "regenerate"]), rng.choice(["user", "assistant", None]), rng.choice("abcdef") * rng.randint(0, 2)))
+    df = spark.createDataFrame([(*r, 3, "x") for r in rows], EVENTS)
+    got, n = {}, {}
+    for r in sorted(chat.fold(df).collect(), key=lambda r: (r["conv_id"], r["turn"], r["part"])):
+        got.setdefault((r["conv_id"], r["turn"]), []).append((r["role"], r["text"]))
+    want = {}
+    for (c, t, i), m in sorted(interpreter(rows).items()):
+        want.setdefault((c, t), []).append(m)
+    assert got == want and any(len(m) > 1 for m in got.values())
+
+
+def test_a_streamed_log_folds_to_the_table(spark):
+    rng = random.Random(1)
+    texts = ["", None, "a", "ab", "é😀 \\### </turn>", "x" * 1000, "### </turn>:\n"]
+    table = [(c, t, rng.choice(["user", "assistant", "system", None]), rng.choice(texts)) for c in range(40) for t in range(rng.randint(1, 9))]
+    table += [(50, 1, "assistant", "b"), (50, 1, "assistant", "a"), (50, 1, "assistant", "a"), (50, 1, "user", "c"), (50, None, "user", "first"), (None, 2, "assistant", "lost"), (51, 0, "user", "long " * 200_000), (51, 1, "assistant", "\\e" * 200_000)]
+    df = spark.createDataFrame([(*r, 0, "k") for r in table], "conv_id long, turn long, role string, text string, row int, kind string")
+    say = lambda log: {r["conv_id"]: (turns(r), r["loss_texts"]) for r in chat.read_back(chat.render(chat.fold(log))).collect()}
+    got = say(chat.as_streamed(df))
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
+    want = {c: [(r[2] or "", r[3] or "") for r in sorted((r for r in table if r[0] == c), key=key)] for c in {r[0] for r in table}}
+    assert {c: t for c, (t, _) in got.items()} == want == {c: t for c, (t, _) in say(chat.as_events(df)).items()}
+    assert {c: x for c, (_, x) in got.items()} == {c: [text for role, text in t if role == "assistant"] for c, t in want.items()}
+
+
+def test_a_long_conversation_is_spread(spark):
+    n = 100_000
+    df = spark.range(n).select(chat.F.lit(1).cast("long").alias("conv_id"), chat.F.col("id").alias("turn"), chat.F.when(chat.F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), chat.F.concat(chat.F.lit("t"), "id").alias("text"))
+    messages = chat.fold(chat.as_streamed(df))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = chat.render_pieces(messages).groupBy(chat.F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) == 4 and max(r["count"] for r in tasks) < 0.5 * -(-n // chat.PIECE)
+    r = chat.read_back(chat.render(messages)).select(chat.F.size("turns").alias("n"), chat.F.get("loss_texts", chat.F.lit(n // 2 - 1)).alias("last"), chat.F.size("loss_texts").alias("k")).first()
+    assert (r["n"], r["last"], r["k"]) == (n, f"t{n - 1}", n // 2)
