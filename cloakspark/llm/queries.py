@@ -114,7 +114,7 @@ pages AS (SELECT source, count(*) AS n FROM d GROUP BY source),
 l AS (SELECT source, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x)), lambda x: x <> ''))) AS line FROM d),
 c AS (SELECT source, line, count(*) AS c FROM l GROUP BY source, line),
 b AS (SELECT c.source, list(line) AS found FROM c JOIN pages p ON c.source IS NOT DISTINCT FROM p.source
-      WHERE c.c >= {linededup.LEAST_PAGES} AND c.c > p.n * {linededup.RATIO} GROUP BY c.source),
+      WHERE c.c > 1 AND {linededup.share('c.c', 'p.n')} > {linededup.RATIO} GROUP BY c.source),
 k AS (SELECT d.doc_id, d.source, d.text, d.lines, b.found,
              list_filter(d.lines, lambda x: trim(x) = '' OR NOT list_contains(coalesce(b.found, []), trim(x))) AS kept
       FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source)

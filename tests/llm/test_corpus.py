@@ -63,12 +63,25 @@ def test_prediction_is_the_average_it_claims(spark):
 # Line dedup
 
 
-def brute_lines(rows, ratio, least):
-    pages, count = Counter(s for *_, s in rows), Counter()
-    for _, t, _, s in rows:
+def surely(k, n):
+    """The lower end of Wilson's interval of k - 1 of n - 1."""
+    k, n = k - 1, n - 1
+    p = k / n
+    return (p + 3.8416 / (2 * n) - 1.96 * (p * (1 - p) / n + 3.8416 / (4 * n * n)) ** 0.5) / (1 + 3.8416 / n)
+
+
+def brute_lines(rows, ratio, copies_once=False):
+    own = {(t, s) for _, t, _, s in rows} if copies_once else [(t, s) for _, t, _, s in rows]
+    pages, count = Counter(s for _, s in own), Counter()
+    for t, s in own:
         count.update({(s, x.strip(" ")) for x in (t or "").split("\n") if x.strip(" ")})
-    bad = {k for k, n in count.items() if n >= least and n > pages[k[0]] * ratio}
-    return [(i, t if t is None else "\n".join(x for x in t.split("\n") if (s, x.strip(" ")) not in bad)) for i, t, _, s in rows]
+    bad = {k for k, n in count.items() if n > 1 and surely(n, pages[k[0]]) > ratio}
+    chars = lambda xs: sum(len(x.strip(" ")) for x in xs)
+    out = []
+    for i, t, _, s in rows:
+        kept = [x for x in (t or "").split("\n") if (s, x.strip(" ")) not in bad]
+        out.append((i, t if t is None or (copies_once and chars(kept) < 0.5 * chars(t.split("\n"))) else "\n".join(kept)))
+    return out
 
 
 def test_line_dedup_against_brute_force(spark):
@@ -76,14 +89,22 @@ def test_line_dedup_against_brute_force(spark):
     lines = ["Menu", " Menu ", "Footer", "", "  ", *(f"line {i}" for i in range(300))]
     rows = [(i, "\n".join(rng.choice(lines[:6] if rng.random() < 0.4 else lines) for _ in range(rng.randint(0, 12))), "en", rng.choice(["a", "a", "a", "b", None])) for i in range(200)]
     rows += [(7, None, None, "a"), (7, "Menu", None, "a"), (8, "Menu\nMenu", None, "rare")]
-    for ratio, least in ((0.1, 5), (0.02, 2), (0.5, 1)):
-        out = linededup.dedup_lines(docs(spark, rows), ratio=ratio, least_pages=least)
+    for ratio in (0.02, 0.1, 0.5):
+        out = linededup.dedup_lines(docs(spark, rows), ratio=ratio)
         assert out.columns == docs(spark, []).columns
         key = lambda x: (x[0], x[1] or "", x[1] is None)
-        assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=key) == sorted(brute_lines(rows, ratio, least), key=key)
+        assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=key) == sorted(brute_lines(rows, ratio), key=key)
     assert linededup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_in_hosts_of_every_size(spark):
+    rows = []
+    for host, (pages, having) in {"two": (2, 2), "nine": (9, 9), "ten2": (10, 2), "ten3": (10, 3), "all17": (500, 17), "all18": (500, 18), "one": (1, 1)}.items():
+        rows += [(len(rows) + i, f"line {host} {i}\n" + ("footer" if i < having else "other") + ("" if i < having else f" {i}"), None, host) for i in range(pages)]
+    lost = Counter(r["source"] for r in linededup.dedup_lines(docs(spark, rows), dropped_col="n").where("n > 0").collect())
+    assert lost == {"two": 2, "nine": 9, "ten3": 3, "all18": 18}
+
+
 def test_copy_groups_reach_near_dedup(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(3)
@@ -291,7 +312,7 @@ def test_pipeline_against_its_parts_by_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()]
     model = langid.fit(spark.read.parquet(f"{DIR}/documents.parquet"))
     left = [r for r in rows if r[1] and langid._ANY_LETTER.search(r[1]) and model.probabilities([r[1].encode()]).max() >= model.threshold]
-    lines = dict(brute_lines([(r[0], r[1], r[2], r[3]) for r in left], linededup.RATIO, linededup.LEAST_PAGES))
+    lines = dict(brute_lines([(r[0], r[1], r[2], r[3]) for r in left], 0.02, copies_once=True))
     alone = {i for i, c in brute(list(lines.items()), 5).items() if i == c}
     index = decontam.Index([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()])
     clean = {i for i in alone if not index.matches(decontam.folded(lines[i]))}
