@@ -2,8 +2,10 @@
 
 A text's subwords are the byte 2-, 3- and 4-grams of its words, word ends included, letters only and A-Z in lower
 case. Each is hashed to a bucket with an embedding; their average goes through a linear layer to a softmax. Both are
-trained by stochastic gradient descent in numpy on a bounded sample of labelled rows. Temperature and rejection
-threshold are calibrated on a part of the sample that isn't trained on. As all is linear before the softmax, embedding
+trained by stochastic gradient descent in numpy on a bounded sample of labelled rows. The temperature is calibrated on
+a part of the sample that isn't trained on, and so are the two thresholds of rejection, by the length of a text: one for the
+probability of the best language, one for how usual the text's subwords are in all learned languages together, which
+tells texts in other languages and junk from what was learned. As all is linear before the softmax, embedding
 and layer are multiplied once after training, and a prediction is an average of the products' rows.
 """
 
@@ -18,18 +20,20 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, give_back, mix, pick, text_batches
+from .common import batches, cut, give_back, mix, pick, text_batches
 
 ORDERS = (2, 3, 4)
 BITS = 13
 BUCKETS = 1 << BITS
 DIM = 16
-#: The bounds of what training reads: rows of each language (about, by a hash of the id), and languages (the most frequent).
-ROWS_PER_LANGUAGE = 500
-LANGUAGES = 200
+#: The bounds of what training reads: rows in all and of each language (about, by a hash of the id), and of a longer text so
+#: many characters, from a place that depends on the id.
+SAMPLE_ROWS, ROWS_PER_LANGUAGE, EXCERPT = 8192, 500, 8192
 UNDETERMINED = "und"
-#: Share of clean validation windows that calibration lets be rejected.
-REJECTED_SHARE = 0.0005
+#: A text is rejected if its best language has less than DOUBT times the least probability, or its subwords are more than
+#: UNUSUAL standard deviations less likely than the mean, of clean validation windows of its length (in powers of two).
+DOUBT, UNUSUAL = 0.35, 12.0
+LENGTHS = 24
 #: Bytes that a task turns into subwords at once.
 AT_ONCE = 1 << 19
 
@@ -66,21 +70,40 @@ class Model:
     tables: tuple[np.ndarray, ...]  # for each order, BUCKETS + 1 rows of a logit for each language, the last one zero
     bias: np.ndarray
     temperature: float
-    threshold: float
+    usual: tuple[np.ndarray, ...]  # for each order, the log probability of each bucket over all languages, the last one zero
+    doubtful: np.ndarray  # by length, the least probability of the best language
+    unusual: np.ndarray  # by length, the least mean of usual
 
-    def logits(self, docs: list[bytes]) -> np.ndarray:
+    def sums(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits, mean of usual, and number of subwords."""
         ids, starts = subwords(docs)
-        total, count = np.zeros((len(docs), len(self.languages)), dtype=np.float64), np.zeros(len(docs))
-        for t, i in zip(self.tables, ids):
+        total, count = np.zeros((len(docs), len(self.languages) + 1), dtype=np.float64), np.zeros(len(docs))
+        for t, u, i in zip(self.tables, self.usual, ids):
             at = np.minimum(starts, len(i) - 1)
             for c in range(len(self.languages)):
                 total[:, c] += np.add.reduceat(t[:, c][i], at, dtype=np.float64)
+            total[:, -1] += np.add.reduceat(u[i], at, dtype=np.float64)
             count += np.add.reduceat((i != BUCKETS).astype(np.int32), at)
-        return total / np.maximum(count, 1)[:, None] + self.bias
+        total /= np.maximum(count, 1)[:, None]
+        return total[:, :-1] + self.bias, total[:, -1], count
+
+    def logits(self, docs: list[bytes]) -> np.ndarray:
+        return self.sums(docs)[0]
 
     def probabilities(self, docs: list[bytes]) -> np.ndarray:
         return _softmax(self.logits(docs) / self.temperature)
 
+    def judged(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best language, its probability, and whether it is accepted."""
+        z, usual, count = self.sums(docs)
+        p = _softmax(z / self.temperature)
+        length = _length(count)
+        return p.argmax(axis=1), p.max(axis=1), (p.max(axis=1) >= self.doubtful[length]) & (usual >= self.unusual[length])
+
+
+def _length(count: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(count, 1)).astype(np.int64), LENGTHS - 1)
+
 
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
@@ -123,14 +146,32 @@ def train(texts: list[str], labels: list[str], *, steps: int = 700, batch: int =
             owner = np.searchsorted(starts, real, side="right") - 1
             np.subtract.at(e[o], i[real], back[np.maximum(owner, 0)])
     tables = tuple(np.ascontiguousarray(e[o] @ w) for o in range(len(ORDERS)))
-    model = Model(languages, tables, b, 1.0, 0.0)
-    held = [(window(i, 5), c) for c, own in enumerate(by) for i in own[: max(1, len(own) // 5)] for _ in range(4)]
+    usual = []
+    for o in range(len(ORDERS)):
+        share = np.zeros(BUCKETS)
+        for own in fit:
+            n_of = np.bincount(np.concatenate([subwords([b" ".join(words[i])])[0][o] for i in own]), minlength=BUCKETS + 1)[:BUCKETS] + 0.5
+            share += n_of / n_of.sum() / n
+        usual.append(np.append(np.log(share), 0.0).astype(np.float32))
+    anything = np.zeros(LENGTHS) - np.inf
+    model = Model(languages, tables, b, 1.0, tuple(usual), anything, anything)
+    held = [(window(i), c) for c, own in enumerate(by) for i in own[: max(1, len(own) // 5)] for _ in range(8)]
     z, y = model.logits([d for d, _ in held]), np.array([c for _, c in held])
     grid = np.exp(np.linspace(np.log(0.02), np.log(4), 60))
     losses = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
     temperature = float(grid[int(np.argmin(losses))])
     best = _softmax(z / temperature).max(axis=1)
-    return Model(languages, tables, b, temperature, float(min(1.5 / max(n, 3), np.quantile(best, REJECTED_SHARE))))
+    _, likely, count = model.sums([d for d, _ in held])
+    length, doubtful, unusual = _length(count), anything.copy(), anything.copy()
+    for i in range(LENGTHS):
+        own = length == i
+        if own.sum() >= 20:
+            spread = max(float(likely[own].std()), 0.02)
+            doubtful[i] = DOUBT * best[own].min()
+            unusual[i] = min(likely[own].mean() - UNUSUAL * spread, likely[own].min() - 2 * spread)
+        elif i:  # longer texts than there were windows of: as the longest windows
+            doubtful[i], unusual[i] = doubtful[i - 1], unusual[i - 1]
+    return Model(languages, tables, b, temperature, tuple(usual), doubtful, unusual)
 
 
 def held_out(id_column):
@@ -138,15 +179,21 @@ def held_out(id_column):
     return F.crc32(id_column.cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
-    """The model learned from a bounded sample (about rows_per_language rows of each language, chosen by a hash of the id)."""
-    d = pick(docs, doc=id_col, text=text_col, lang=lang_col).where(~held_out(F.col("doc")) & F.col("lang").isNotNull())
-    counts = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> Model | None:
+    """The model learned from a bounded sample of labelled rows, chosen by a hash of the id: about rows_per_language rows of each
+    language, and about sample_rows in all, however many languages there are. None if there is no labelled text."""
+    d = pick(docs, doc=id_col, text=text_col, lang=lang_col).where(~held_out(F.col("doc")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = cut(d.groupBy("lang").count())
+    languages = counts.count()
+    if not languages:
         return None
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, rows_per_language / r["count"])))])
-    drawn = F.pmod(F.xxhash64(F.col("doc"), F.lit(11)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
-    rows = sorted(d.where(drawn & F.col("text").isNotNull()).select("doc", "text", "lang").collect(), key=lambda r: (r["doc"], r["text"], r["lang"]))
+    each = min(float(rows_per_language), sample_rows / languages)
+    n = F.length("text")
+    at = F.when(n > EXCERPT, F.pmod(F.xxhash64(F.col("doc"), F.lit(13)), n - EXCERPT)).otherwise(0).cast("int") + 1
+    drawn = F.pmod(F.xxhash64(F.col("doc"), F.lit(11)), F.lit(1 << 30)) < F.lit(each) / F.col("count") * (1 << 30)
+    near = F.broadcast(counts) if languages <= 1 << 16 else counts
+    rows = d.join(near, "lang").where(drawn).select("doc", F.substring(F.col("text"), at, F.lit(EXCERPT)).alias("text"), "lang").collect()
+    rows = sorted(rows, key=lambda r: (r["doc"], r["text"], r["lang"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
@@ -154,18 +201,16 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
     """doc_id, held_out, lang_pred, score, accepted of every whole text.
 
     lang_pred is und, with score 0 and not accepted, for texts that are null or without a letter, and for all texts if
-    there was nothing to learn from. score is the calibrated probability of lang_pred; accepted says that it isn't
-    under the calibrated threshold. Repeated rows give repeated results; ties go to the language first in the alphabet; an
+    there was nothing to learn from. score is the calibrated probability of lang_pred; accepted says that neither it nor
+    the likelihood of the text's subwords is under the calibrated threshold for its length. Very long texts are read whole. Repeated rows give repeated results; ties go to the language first in the alphabet; an
     empty table gives an empty one; a null id stays null and isn't held out; other columns are left behind.
     """
 
     def run(parts):
-        least = model.threshold if model else 2.0
         for doc, texts in text_batches(parts, AT_ONCE):
-            pred, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            for i, c, s in _scored(model, texts):
-                pred[i], score[i] = model.languages[c], float(min(1.0, s))
-            accepted = [p != UNDETERMINED and s >= least for p, s in zip(pred, score)]
+            pred, score, accepted = [UNDETERMINED] * len(texts), [0.0] * len(texts), [False] * len(texts)
+            for i, c, s, ok in _scored(model, texts):
+                pred[i], score[i], accepted[i] = model.languages[c], float(min(1.0, s)), bool(ok)
             yield pa.RecordBatch.from_arrays([doc, pa.array(pred), pa.array(score), pa.array(accepted)], ["doc_id", "lang_pred", "score", "accepted"])
 
     d = pick(docs, doc=id_col, text=text_col)
@@ -174,15 +219,18 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
 
 
 def _scored(model: Model | None, texts: list[str | None]):
-    """(place, language, score) of the texts that have a letter."""
+    """(place, language, probability, accepted) of the texts that have a letter."""
     known = [i for i, t in enumerate(texts) if model and t and _ANY_LETTER.search(t)]
     if known:
-        p = model.probabilities([texts[i].encode() for i in known])
-        yield from zip(known, p.argmax(axis=1), p.max(axis=1))
+        yield from zip(known, *model.judged([texts[i].encode() for i in known]))
 
 
 def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the documents whose language is rejected; all columns stay."""
+    """docs without the documents whose language is rejected; all columns stay.
+
+    Null and letterless texts are rejected, and all are if no text is labelled; null ids, repeated rows and very long texts are
+    treated like others, an empty table stays one.
+    """
     model = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
     if model is None:
         return docs.limit(0)
@@ -192,8 +240,8 @@ def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             text, keep = part.column(text_col), np.zeros(part.num_rows, dtype=bool)
             sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
             for a, b in batches(sizes, AT_ONCE):
-                for i, _, s in _scored(model, text.slice(a, b - a).to_pylist()):
-                    keep[a + i] = s >= model.threshold
+                for i, _, _, ok in _scored(model, text.slice(a, b - a).to_pylist()):
+                    keep[a + i] = ok
             yield part.filter(pa.array(keep))
         give_back()
 

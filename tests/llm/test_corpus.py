@@ -30,6 +30,36 @@ def test_language_held_out_accuracy(spark):
     assert sum(r["accepted"] for r in got) / len(got) > 0.995
 
 
+def test_language_rejection_on_both_sides(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    finnish = "kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu jarki ja omatunto ja heidan on toimittava toisiaan kohtaan veljeyden hengessa".split()
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(finnish) for _ in range(rng.choice([40, 200, 2000]))), None, None) for i in range(40)]
+    rows += [(100 + i, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(2, 9))) for _ in range(80)), None, None) for i in range(40)]
+    model = langid.fit(d)
+    assert not any(r["accepted"] for r in langid.predict(docs(spark, rows), model).collect())
+    clean = [r for r in langid.predict(d, model).join(d.select("doc_id", "text"), "doc_id").collect() if r["held_out"] and len(r["text"] or "") > 100]
+    assert sum(r["accepted"] for r in clean) >= 0.999 * len(clean) > 100
+
+
+def test_language_of_more_than_200_languages_and_a_bounded_sample(spark, monkeypatch):
+    rng = random.Random(8)
+    rows, n = [], 0
+    for lang in range(230):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)]
+        for _ in range(4):
+            rows.append((n, " ".join(rng.choice(words) for _ in range(30)), f"l{lang:03d}", None))
+            n += 1
+    d = docs(spark, rows)
+    monkeypatch.setattr(langid, "train", lambda texts, labels: (texts, labels))
+    texts, labels = langid.fit(d)
+    assert len(set(labels)) == len({r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1}) > 220
+    texts, labels = langid.fit(d, sample_rows=115)
+    assert 30 < len(texts) < 300
+    texts, _ = langid.fit(docs(spark, [(i, "ab " * 50_000, "x", None) for i in range(9)]))
+    assert texts and {len(t) for t in texts} == {langid.EXCERPT}
+
+
 def test_language_edges(spark):
     base = spark.read.parquet(f"{DIR}/documents.parquet").collect()
     model = langid.fit(docs(spark, [(r["doc_id"], r["text"], r["lang"], None) for r in base]))
@@ -311,7 +341,7 @@ def test_pipeline_against_its_parts_by_brute_force(spark):
 
     rows = [tuple(r) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()]
     model = langid.fit(spark.read.parquet(f"{DIR}/documents.parquet"))
-    left = [r for r in rows if r[1] and langid._ANY_LETTER.search(r[1]) and model.probabilities([r[1].encode()]).max() >= model.threshold]
+    left = [r for r in rows if r[1] and langid._ANY_LETTER.search(r[1]) and model.judged([r[1].encode()])[2][0]]
     lines = dict(brute_lines([(r[0], r[1], r[2], r[3]) for r in left], 0.02, copies_once=True))
     alone = {i for i, c in brute(list(lines.items()), 5).items() if i == c}
     index = decontam.Index([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()])
