@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import json
 import math
+import re
 
 from ..errors import ValidationError
 
@@ -27,7 +28,10 @@ def _refuse(name):
 
 
 def _pairs(pairs):
-    return dict(pairs)
+    out = dict(pairs)
+    if len(out) < len(pairs):  # one of them would go through unseen
+        raise ValueError("a key is repeated")
+    return out
 
 
 def write(x) -> str:
@@ -66,13 +70,22 @@ def digest(text: str, key: bytes | None = None, domain: str = "") -> str:
 
 
 class Sanitizer:
-    """Walks JSON values. key_rules: {key in any case: category} forces a category on all below; skip_keys stay as they are."""
+    """Walks JSON values. key_rules: {key in any case: category} forces a category on all below; skip_keys stay as they are.
 
-    def __init__(self, pipeline, key_rules: dict[str, str] | None = None, skip_keys=(), json_string_keys=(), keys: str = "keep", number_digits: int = LONG_NUMBER):
+    key_patterns does the same for keys that a regular expression finds; skip_paths are JSON pointers, * for any one
+    member, of what stays as it is. Integers of number_digits digits and more are looked at as texts (0: none is).
+    """
+
+    def __init__(self, pipeline, key_rules: dict[str, str] | None = None, skip_keys=(), json_string_keys=(), keys: str = "keep", number_digits: int = LONG_NUMBER, key_patterns: dict[str, str] | None = None, skip_paths=()):
         if keys not in ("keep", "replace", "flag"):
             raise ValidationError("keys", "must be keep, replace or flag")
         self.pipeline, self.keys, self.number_digits = pipeline, keys, number_digits
         self.rules = {k.lower(): v for k, v in (key_rules or {}).items()}
+        try:
+            self.patterns = [(re.compile(k, re.I), v) for k, v in (key_patterns or {}).items()]
+        except re.error:
+            raise ValidationError("key_patterns", "must be regular expressions") from None
+        self.skip_paths = [p.split("/") for p in skip_paths]
         self.skip, self.nested = {k.lower() for k in skip_keys}, {k.lower() for k in json_string_keys}
 
     def run(self, text: str):
@@ -101,6 +114,13 @@ class Sanitizer:
         self._note(path, category, "key")
         return self.pipeline.by_category.get(category, self.pipeline.fallback)(s, category)
 
+    def _skips(self, path) -> bool:
+        at = pointer(path).split("/") if self.skip_paths else None
+        return any(len(p) == len(at) and all(a in ("*", b) for a, b in zip(p, at)) for p in self.skip_paths)
+
+    def _rule(self, low: str, key: str, category):
+        return self.rules.get(low) or next((c for p, c in self.patterns if p.search(key)), category)
+
     def _walk(self, x, path, category, depth: int):
         if depth > DEPTH:
             raise ValidationError("json", f"is nested more than {DEPTH} deep")
@@ -108,7 +128,7 @@ class Sanitizer:
             out = {}
             for k, v in x.items():
                 low, at = k.lower(), (*path, k)
-                if low in self.skip:
+                if low in self.skip or self._skips(at):
                     self.skipped.append(pointer(at))
                     out[k] = v
                     continue
@@ -121,7 +141,7 @@ class Sanitizer:
                         n = 2
                         while name in out or (name != k and name in x):
                             name, n = f"{base}#{n}", n + 1
-                rule = self.rules.get(low, category)
+                rule = self._rule(low, k, category)
                 if low in self.nested and isinstance(v, str) and rule is None:
                     try:
                         before = self.replaced
@@ -138,7 +158,7 @@ class Sanitizer:
             if category is not None:
                 return self._forced(str(x), path, category)
             digits = x.lstrip("-")
-            if digits.isdigit() and len(digits) >= self.number_digits:
+            if self.number_digits and digits.isdigit() and len(digits) >= self.number_digits:
                 new = self._text(str(x), path)
                 return x if new == x else new
             return x

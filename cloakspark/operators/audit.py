@@ -1,7 +1,7 @@
 """A hash-chained audit table and signed receipts.
 
 Each record's hash covers its canonical JSON, which holds the hash before it. A chain is sealed in its order; checking
-recomputes all hashes in parallel and compares neighbours in a window.
+recomputes all hashes in parallel and brings neighbours together by their numbers.
 """
 
 from __future__ import annotations
@@ -10,21 +10,29 @@ import hmac
 import json
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import schemas as S
 from ..errors import AuditIntegrityError, ValidationError
-from ..functions.json_tools import canonical, digest
+from ..functions.json_tools import Literal, canonical, digest, parse, write
+from ..plans.spec import cached
 
 GENESIS = "0" * 64
 GUARDED = "[GUARDED]"
 DOMAIN, RECEIPT, CHECKSUM = "audit-record", "receipt", "input-checksum"
-_BODY = ("chain_id", "seq", "ts", "operation", "actor", "source", "fields", "attributes", "guarded", "prev")
+_BODY = ("chain_id", "seq", "ts", "operation", "actor", "source", "policy", "fields", "checksums", "attributes", "guarded", "prev")
+#: What a log mustn't hold unless it is told otherwise: whatever the precise detectors find.
+_BUILTIN = json.dumps({"categories": "credit-card email iban ipv4 ipv6 national-id ssn".split()})
+_HEX = re.compile("[0-9a-f]{64}")
+
+
+def builtin_guard(text: str) -> bool:
+    return cached(_BUILTIN).test(text)
 
 
 def record_hash(record: dict, key: bytes | None = None) -> str:
@@ -36,8 +44,56 @@ def guard(text: str | None, sensitive: Callable[[str], bool]) -> tuple[str | Non
     return (GUARDED, 1) if text and sensitive(text) else (text, 0)
 
 
-def guard_path(path: str, sensitive: Callable[[str], bool]) -> str:
-    return "/".join("*" if part and sensitive(part) else part for part in path.split("/"))
+def guard_path(path: str, sensitive: Callable[[str], bool]) -> tuple[str, int]:
+    """A JSON pointer with * for the members whose names a log mustn't hold, and how many there are."""
+    parts = [("*", 1) if part and sensitive(part.replace("~1", "/").replace("~0", "~")) else (part, 0) for part in path.split("/")]
+    return "/".join(p for p, _ in parts), sum(n for _, n in parts)
+
+
+def guard_json(text: str | None, sensitive: Callable[[str], bool]) -> tuple[str | None, int]:
+    """JSON with the label for keys, texts and numbers that a log mustn't hold; members named path are pointers. What isn't
+    JSON is a text."""
+    if not text:
+        return text, 0
+    try:
+        value = parse(text)
+    except (ValueError, RecursionError):
+        return guard(text, sensitive)
+    count = 0
+
+    def walk(x, name=None):
+        nonlocal count
+        if isinstance(x, dict):
+            out = {}
+            for k, v in x.items():
+                safe, hit = guard(k, sensitive)
+                count += hit
+                n, base = 2, safe
+                while safe in out or (hit and safe in x):
+                    safe, n = f"{base}#{n}", n + 1
+                out[safe] = walk(v, k)
+            return out
+        if isinstance(x, list):
+            return [walk(v, name) for v in x]
+        if isinstance(x, str):  # numbers as well: as they are written
+            new, hit = guard_path(x, sensitive) if name == "path" and not isinstance(x, Literal) else guard(str(x), sensitive)
+            count += hit
+            return new if hit else x
+        return x
+
+    new = walk(value)
+    return (write(new), count) if count else (text, 0)
+
+
+def guard_digests(text: str | None, members: tuple[str, ...], sensitive: Callable[[str], bool]) -> tuple[str | None, int]:
+    """JSON whose named members must be SHA-256 in hex: the label for those that aren't, the rest as guard_json."""
+    new, n = guard_json(text, sensitive)
+    try:
+        value = parse(new) if new else None
+    except ValueError:
+        return new, n
+    bad = [m for m in members if isinstance(value, dict) and m in value and not (isinstance(value[m], str) and _HEX.fullmatch(value[m]))]
+    return (write(value | dict.fromkeys(bad, GUARDED)), n + len(bad)) if bad else (new, n)
 
 
 def heads_of(audit: DataFrame) -> DataFrame:
@@ -46,15 +102,18 @@ def heads_of(audit: DataFrame) -> DataFrame:
 
 
 def seal(events: DataFrame, key: bytes | None = None, sensitive: Callable[[str], bool] | None = None, heads: DataFrame | None = None) -> DataFrame:
-    """The audit table of events (chain_id, ts, operation, actor, source, fields, attributes as JSON; seq gives the order).
+    """The audit table of events (chain_id, ts, operation, actor, source; fields, attributes and, if there are such columns,
+    policy and checksums as JSON; seq gives the order).
 
-    A chain is sealed by one task, a run of rows at a time: it hashes in order and holds only the last hash. Make
+    Nothing that sensitive (by default, the precise detectors) says yes to is written: texts, keys, numbers and parts of
+    paths become [GUARDED] or *, and guarded counts them. A chain is sealed by one task, a run of rows at a time: it hashes in order and holds only the last hash. Make
     chains by job or partition to seal in parallel. heads continue chains that were written before.
     """
-    test = sensitive or (lambda s: False)
+    tell = sensitive or builtin_guard
 
     def run(parts):
         last: dict[str, tuple[int, str]] = {}
+        test = lru_cache(maxsize=1 << 14)(tell)
         for pdf in parts:
             rows = []
             for r in pdf.to_dict("records"):
@@ -64,13 +123,20 @@ def seal(events: DataFrame, key: bytes | None = None, sensitive: Callable[[str],
                 for c in ("operation", "actor", "source"):
                     r[c], hit = guard(r[c], test)
                     count += hit
+                for c in ("fields", "attributes"):
+                    r[c], hit = guard_json(r[c], test)
+                    count += hit
+                for c, members in (("policy", ("digest",)), ("checksums", ("input", "output"))):
+                    r[c], hit = guard_digests(r[c], members, test)
+                    count += hit
                 r |= {"seq": n + 1, "guarded": count, "prev": prev}
                 r["hash"] = record_hash(r, key)
                 last = {r["chain_id"]: (r["seq"], r["hash"])}
                 rows.append(r)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in S.AUDIT.split(", ")])
 
-    own = events.select("chain_id", "seq", "ts", "operation", "actor", "source", "fields", "attributes")
+    more = [F.col(c) if c in events.columns else F.lit(None).cast("string").alias(c) for c in ("policy", "checksums")]
+    own = events.select("chain_id", "seq", "ts", "operation", "actor", "source", "fields", "attributes", *more)
     if heads is None:
         own = own.select("*", F.lit(None).cast("long").alias("head_seq"), F.lit(None).cast("string").alias("head_hash"))
     else:
@@ -79,7 +145,10 @@ def seal(events: DataFrame, key: bytes | None = None, sensitive: Callable[[str],
 
 
 def verify(audit: DataFrame, key: bytes | None = None, heads: DataFrame | None = None) -> DataFrame:
-    """chain_id, records, ok, index, reason (bad-seq, bad-prev, bad-hash, head-mismatch): the first failure of each chain.
+    """chain_id, records, ok, index, reason (bad-seq, bad-prev, malformed, bad-hash, head-mismatch): the first failure of each chain.
+
+    Records meet the one before them by its number, so that a long chain is checked by many tasks. Of records that
+    share a number, the second one is the failure, and if one of them fails by itself, the first.
 
     heads (chain_id, seq, hash) are heads kept elsewhere: a chain that was cut short doesn't reach its own.
     """
@@ -90,11 +159,29 @@ def verify(audit: DataFrame, key: bytes | None = None, heads: DataFrame | None =
         except (TypeError, ValueError, ValidationError):
             return None
 
-    own = audit.withColumn("__h", F.udf(one, "string", useArrow=True)(*_BODY))
-    w = Window.partitionBy("chain_id").orderBy("seq")
-    own = own.withColumn("__i", F.row_number().over(w) - 1).withColumn("__p", F.coalesce(F.lag("hash").over(w), F.lit(GENESIS)))
-    why = F.when(F.col("seq") != F.col("__i"), "bad-seq").when(F.col("prev") != F.col("__p"), "bad-prev").when(F.col("__h").isNull(), "malformed").when(F.col("__h") != F.col("hash"), "bad-hash")
-    out = own.withColumn("__why", why).groupBy("chain_id").agg(F.count("*").alias("records"), F.min(F.when(F.col("__why").isNotNull(), F.struct("__i", "__why"))).alias("bad"), F.max_by("hash", "seq").alias("__head"))
+    own = audit.select("chain_id", F.col("seq").cast("long").alias("seq"), F.struct("prev", F.udf(one, "string", useArrow=True)(*_BODY).alias("h"), "hash").alias("r"))
+    # Each record stands at its own number, and as the one before at the next number.
+    both = F.array(F.struct(F.col("seq").alias("seq"), F.col("r").alias("r"), F.lit(None).cast("string").alias("before")), F.struct((F.col("seq") + 1).alias("seq"), F.lit(None).cast(own.schema["r"].dataType).alias("r"), F.col("r.hash").alias("before")))
+    places = own.select("chain_id", F.explode(both).alias("x")).select("chain_id", "x.*")
+    places = places.groupBy("chain_id", "seq").agg(F.count("r").alias("n"), F.min("r").alias("a"), F.max("r").alias("b"), F.max("before").alias("p"), F.max(F.col("r").isNull()).alias("after"))
+    first = F.col("seq") == 0
+
+    def wrong(r):
+        why = F.when(F.col("seq").isNull() | (F.col("seq") < 0) | (~first & ~F.col("after")), "bad-seq").when(~r["prev"].eqNullSafe(F.when(first, F.lit(GENESIS)).otherwise(F.col("p"))), "bad-prev")
+        return why.when(r["h"].isNull(), "malformed").when(~r["h"].eqNullSafe(r["hash"]), "bad-hash")
+
+    alone = F.coalesce(wrong(F.col("a")), wrong(F.col("b")))
+    why = F.when(F.col("n") > 0, F.when(alone.isNotNull(), F.struct(F.col("seq").alias("s"), F.lit(0).alias("twice"), alone.alias("why"))).when(F.col("n") > 1, F.struct(F.col("seq").alias("s"), F.lit(1).alias("twice"), F.lit("bad-seq").alias("why"))))
+    out = places.withColumn("why", why).groupBy("chain_id").agg(
+        F.sum("n").alias("records"),
+        F.min("why").alias("w"),
+        F.min(F.when((F.col("n") == 0) & (F.col("seq") > 0), F.col("seq"))).alias("gap"),  # the first number that no record has
+        F.max(first & (F.col("n") > 0)).alias("begun"),
+        F.max_by("b.hash", F.when(F.col("n") > 0, F.col("seq"))).alias("__head"),
+    )
+    lost = F.when(F.col("begun") & (F.col("w.s") > 0), F.col("gap")).otherwise(0)
+    index = F.when((F.col("w.why") == "bad-seq") & (F.col("w.twice") == 0), lost).otherwise(F.col("w.s") + F.col("w.twice")).cast("int")
+    out = out.select("chain_id", "records", "__head", F.when(F.col("w").isNotNull(), F.struct(index.alias("__i"), F.col("w.why").alias("__why"))).alias("bad"))
     if heads is not None:
         out = heads.select("chain_id", F.col("hash").alias("__want")).join(out, "chain_id", "full")
         late = (F.col("__want").isNotNull()) & ~F.col("__want").eqNullSafe(F.col("__head"))
@@ -104,16 +191,35 @@ def verify(audit: DataFrame, key: bytes | None = None, heads: DataFrame | None =
 
 def append_batches(path: str, key: bytes | None = None, sensitive: Callable[[str], bool] | None = None):
     """For foreachBatch: seals each batch of events onto the chains of the table at path. Each batch is written as a folder of
-    its own number, so a batch that is tried again replaces itself."""
+    its own number, so a batch that is tried again replaces itself.
 
-    def write(events: DataFrame, batch: int) -> None:
-        spark = events.sparkSession
+    The chains' heads after each batch are kept in a table beside it, of which the last two are left: what a batch
+    costs doesn't grow with the history. Without that table the heads are read from the history once.
+    """
+    beside = path.rstrip("/") + "_heads"
+
+    def old_heads(spark, batch: int) -> tuple[DataFrame | None, list[int]]:
         try:
-            old = spark.read.option("basePath", path).parquet(path).where(F.col("batch") < batch)
-            heads = heads_of(old)
+            numbers = sorted(r["batch"] for r in spark.read.option("basePath", beside).parquet(beside).select("batch").distinct().collect() if r["batch"] < batch)
+        except AnalysisException:
+            numbers = []
+        if numbers:
+            return spark.read.parquet(f"{beside}/batch={numbers[-1]}"), numbers
+        try:
+            return heads_of(spark.read.option("basePath", path).parquet(path).where(F.col("batch") < batch)), []
         except AnalysisException:  # nothing is written yet
-            heads = None
+            return None, []
+
+    def write(events: DataFrame, batch: int) -> None:
+        spark = events.sparkSession
+        heads, numbers = old_heads(spark, batch)
         seal(events, key, sensitive, heads).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        new = spark.read.parquet(f"{path}/batch={batch}").select("chain_id", "seq", "hash")
+        both = new if heads is None else new.unionByName(heads.select("chain_id", "seq", "hash"))
+        heads_of(both).write.mode("overwrite").parquet(f"{beside}/batch={batch}")
+        for n in numbers[:-1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{beside}/batch={n}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     return write
 

@@ -44,6 +44,21 @@ def _prefix(category: Column) -> Column:
     return F.coalesce(F.element_at(table, category), F.when(clean.rlike("^[A-Z]"), clean).when(clean == "", F.lit("X")).otherwise(F.concat(F.lit("X_"), clean)))
 
 
+def _joined(a: DataFrame, b: DataFrame, names: list[str], how: str) -> DataFrame:
+    """a join b by the named columns, which may be null; they come from a."""
+    other = b.select(*[F.col(f"`{n}`").alias(f"__on{i}") if n in names else F.col(f"`{n}`") for i, n in enumerate(b.columns)])
+    on = F.lit(True)
+    for n in names:
+        on = on & a[f"`{n}`"].eqNullSafe(other[f"__on{b.columns.index(n)}"])
+    out = a.join(other, on, how)
+    return out if how in ("left_anti", "left_semi") else out.drop(*[c for c in other.columns if c.startswith("__on")])
+
+
+def _row_id(*columns: str) -> Column:
+    """The same for equal values of the columns, on every machine and in every attempt; else different."""
+    return F.unhex(F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])).cast("binary")))
+
+
 def number_tokens(found: DataFrame, *scope: str, order: list[str], existing: DataFrame | None = None, shape: str = "bracket") -> DataFrame:
     """scope, category, value, token: each distinct value of a scope numbered by first appearance within its prefix.
 
@@ -55,9 +70,9 @@ def number_tokens(found: DataFrame, *scope: str, order: list[str], existing: Dat
     a, b, pad = tk.SHAPES[shape]
     offset = F.lit(0)
     if existing is not None:
-        first = first.join(existing.select(*scope, "category", "value"), [*scope, "category", "value"], "left_anti")
+        first = _joined(first, existing.select(*scope, "category", "value"), [*scope, "category", "value"], "left_anti")
         used = existing.withColumn("__p", p).groupBy(*scope, "__p").agg(F.max(F.regexp_extract("token", r"_([0-9]+)\D*$", 1).cast("long")).alias("__used"))
-        first = first.withColumn("__p", p).join(used, [*scope, "__p"], "left")
+        first = _joined(first.withColumn("__p", p), used, [*scope, "__p"], "left")
         offset = F.coalesce("__used", F.lit(0))
     else:
         first = first.withColumn("__p", p)
@@ -71,37 +86,49 @@ def number_tokens(found: DataFrame, *scope: str, order: list[str], existing: Dat
 def tokenize_scopes(df: DataFrame, text_col: str, *scope: str, order: list[str], categories=None, shape: str = "bracket") -> tuple[DataFrame, DataFrame]:
     """(df with tokens in its texts, mapping): all texts of a scope, such as a conversation, share their tokens.
 
-    order names columns that tell the rows of a scope apart. The mapping is joined back by value: no scope is gathered in
-    one task, only the values of one text are.
+    order says which rows of a scope come first. Scopes and orders may be null, which is a scope or a place like others,
+    and rows may share both. The mapping is joined back by value: no scope is gathered in one task, only the values of one
+    text are. A text whose matches don't all find their tokens in their places is withheld (null).
     """
-    own = df.withColumn("__m", detect(F.col(text_col), categories))
-    hits = own.select(*scope, *order, F.posexplode("__m").alias("__i", "__s")).select(*scope, *order, "__i", "__s.*")
+    own = df.withColumn("__r", _row_id(*dict.fromkeys([*scope, *order, text_col])))
+    found = own.select("__r", *dict.fromkeys([*scope, *order]), detect(F.col(f"`{text_col}`"), categories).alias("__m"))
+    hits = found.select("__r", *dict.fromkeys([*scope, *order]), F.explode("__m").alias("__s")).select("__r", *dict.fromkeys([*scope, *order]), "__s.*")
     mapping = number_tokens(hits, *scope, order=[*order, "start"], shape=shape)
-    placed = hits.join(mapping, [*scope, "category", "value"]).groupBy(*scope, *order).agg(F.array_sort(F.collect_list(F.struct("start", "end", "token"))).alias("__t"))
-    joined = own.join(placed, [*scope, *order], "left").drop("__m")
+    placed = _joined(hits.select("__r", *scope, "category", "value", "start", "end"), mapping, [*scope, "category", "value"], "left")
+    placed = placed.groupBy("__r").agg(F.array_sort(F.collect_set(F.struct("start", "end", "token", "value"))).alias("__t"))
+    joined = own.join(placed, "__r", "left")
+    text = F.col(f"`{text_col}`")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("s"))
-    step = lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["s"], F.substring(F.col(text_col), acc["at"] + 1, x["start"] - acc["at"]), x["token"]).alias("s"))
-    done = F.aggregate("__t", zero, step)
-    new = F.when(F.col("__t").isNull(), F.col(text_col)).otherwise(F.concat(done["s"], F.substring(F.col(text_col), done["at"] + 1, F.length(text_col))))
-    return joined.withColumn(text_col, new).drop("__t"), mapping
+    there = lambda x: (x["start"] >= 0) & (F.substring(text, x["start"] + 1, x["end"] - x["start"]) == x["value"])
+    # concat gives null if a token is missing
+    step = lambda acc, x: F.struct(x["end"].alias("at"), F.when(there(x) & (x["start"] >= acc["at"]), F.concat(acc["s"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), x["token"])).alias("s"))
+    done = F.aggregate("__t", zero, step, lambda acc: F.concat(acc["s"], F.substring(text, acc["at"] + 1, F.length(text))))
+    new = F.when(F.col("__t").isNull(), text).otherwise(done)
+    return joined.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]), mapping
 
 
 def restore_scopes(df: DataFrame, text_col: str, mapping: DataFrame, *scope: str, order: list[str]) -> DataFrame:
-    """df with text_col restored by a left join with the mapping, and restored and unresolved; unknown tokens stay."""
+    """df with text_col restored by a left join with the mapping, and restored and unresolved; unknown tokens stay.
+
+    Scopes may be null and rows may repeat, as in tokenize_scopes. A token that the mapping has with several values is unknown.
+    """
     pattern = tk.ANY_TOKEN.pattern
-    found = F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))
-    parts = df.select(*scope, *order, F.posexplode(found).alias("__i", "token"))
-    hit = parts.join(mapping.select(*scope, "token", "value"), [*scope, "token"], "left").groupBy(*scope, *order)
-    values = hit.agg(
-        F.array_sort(F.collect_list(F.struct("__i", F.coalesce("value", "token").alias("v")))).alias("__v"),
-        F.count("value").cast("int").alias("restored"),
-        F.array_sort(F.collect_set(F.when(F.col("value").isNull(), F.col("token")))).alias("unresolved"),
-    )
-    joined = df.join(values, [*scope, *order], "left")
-    gaps = F.split(F.col(text_col), pattern, -1)
+    own = df.withColumn("__r", _row_id(*dict.fromkeys([*scope, text_col])))
+    found = F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(pattern), F.lit(0))
+    parts = own.select("__r", *scope, F.posexplode(found).alias("__i", "token"))
+    known = mapping.groupBy(*scope, "token").agg(F.when(F.min("value") == F.max("value"), F.min("value")).alias("value"))
+    hit = _joined(parts, known, [*scope, "token"], "left").groupBy("__r")
+    values = hit.agg(F.array_sort(F.collect_set(F.struct("__i", F.coalesce("value", "token").alias("v"), F.col("value").isNotNull().alias("k"), "token"))).alias("__v"))
+    joined = own.join(values, "__r", "left")
+    gaps = F.split(F.col(f"`{text_col}`"), pattern, -1)
     whole = F.array_join(F.flatten(F.zip_with(gaps, F.col("__v"), lambda g, v: F.array(g, F.coalesce(v["v"], F.lit(""))))), "")
-    text = F.when(F.col("__v").isNull(), F.col(text_col)).otherwise(whole)
-    return joined.withColumn(text_col, text).drop("__v").withColumn("restored", F.coalesce("restored", F.lit(0))).withColumn("unresolved", F.coalesce("unresolved", F.array().cast("array<string>")))
+    text = F.when(F.col("__v").isNull(), F.col(f"`{text_col}`")).otherwise(whole)
+    unknown = F.array_sort(F.array_distinct(F.transform(F.filter("__v", lambda v: ~v["k"]), lambda v: v["token"])))
+    return joined.select(
+        *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns],
+        F.coalesce(F.size(F.filter("__v", lambda v: v["k"])), F.lit(0)).alias("restored"),
+        F.coalesce(unknown, F.array().cast("array<string>")).alias("unresolved"),
+    )
 
 
 # Keyed and sealed tokens
@@ -150,8 +177,8 @@ def get(vault: DataFrame, ring: tk.KeyRing, now: int = 0) -> DataFrame:
 
 
 def replace(vault: DataFrame, expected: DataFrame, new: DataFrame) -> DataFrame:
-    """Compare and swap: rows of new take the place of those whose token, key and sealed value are as expected."""
-    same = [F.col("v.token") == F.col("e.token"), F.col("v.key_id") == F.col("e.key_id"), F.col("v.sealed") == F.col("e.sealed")]
+    """Compare and swap: rows of new take the place of those whose token, key, sealed value and subjects' tags are as expected."""
+    same = [F.col("v.token") == F.col("e.token"), F.col("v.key_id") == F.col("e.key_id"), F.col("v.sealed") == F.col("e.sealed"), F.col("v.subjects").eqNullSafe(F.col("e.subjects"))]
     hit = vault.alias("v").join(expected.alias("e"), same, "left_semi").select("token")
     return vault.join(hit, "token", "left_anti").unionByName(new.join(hit, "token", "left_semi"))
 

@@ -655,5 +655,5 @@ def detections_by_hour(spark, d):
 def http_bodies(spark, d):
     df = made(spark, d, _C, "c_custkey", "case c_custkey % 3 when 0 then '{\"a\":\"u@x.org\"}' when 1 then 'plain u@x.org' else 'binary u@x.org' end")
     kind = F.element_at(F.array(F.lit("application/json; charset=utf-8"), F.lit("text/plain"), F.lit("image/png")), (F.col("k") % 3 + 1).cast("int"))
-    return df.select("k", json_text.sanitize_body(kind, F.col("t"), {"categories": ["email"]}).alias("body"))
+    return df.select("k", json_text.sanitize_body(kind, F.col("t"), {"categories": ["email"]})["text"].alias("body"))
 

@@ -11,4 +11,4 @@ TOKENIZED = "struct<text:string,mapping:map<string,string>,tokens:array<struct<t
 RESTORED = "struct<text:string,restored:int,unresolved:array<string>>"
 SANITIZED = "struct<json:string,fields:array<struct<path:string,category:string,detector:string,count:int>>,replaced:int,flagged_keys:array<string>,skipped:array<string>,error:string>"
 VAULT = "token string, category string, key_id string, sealed binary, check string, subjects array<string>, created_at long, expires_at long"
-AUDIT = "chain_id string, seq long, ts string, operation string, actor string, source string, fields string, attributes string, guarded int, prev string, hash string"
+AUDIT = "chain_id string, seq long, ts string, operation string, actor string, source string, policy string, fields string, checksums string, attributes string, guarded int, prev string, hash string"

@@ -13,6 +13,8 @@ from ..functions.chunks import ChunkRestorer, ChunkTransformer
 from ..functions.tokens import Session
 from ..plans.spec import cached, compile_pipeline
 
+#: Milliseconds without a chunk after which a stream counts as ended.
+TIMEOUT = 3_600_000
 OUT = "stream_id string, seq long, text string, final boolean"
 
 
@@ -26,13 +28,19 @@ def _ordered(rows: pd.DataFrame, held: dict, upto: int):
         upto += 1
 
 
-def _stateful(make):
+def _stateful(make, timeout: int | None):
     """A function of the groups of one stream: make(saved) gives push, flush and what to save."""
 
     def run(key, parts, state: GroupState):
         saved = json.loads(state.get[0]) if state.exists else {"next": 0, "held": {}, "own": None}
-        rows = pd.concat(list(parts), ignore_index=True)
         push, flush, own = make(saved["own"])
+        if state.hasTimedOut:  # nothing came for too long: what is there is written, across gaps
+            text = "".join(push(saved["held"][k][0]) for k in sorted(saved["held"], key=int)) + flush()
+            last = max([saved["next"] - 1, *map(int, saved["held"])])
+            state.remove()
+            yield pd.DataFrame([(key[0], last + 1, text, True)], columns=["stream_id", "seq", "text", "final"])
+            return
+        rows = pd.concat(list(parts), ignore_index=True)
         out, done = [], False
         for seq, chunk, final in list(_ordered(rows, saved["held"], saved["next"])):
             saved["next"] = seq + 1
@@ -45,34 +53,50 @@ def _stateful(make):
         else:
             saved["own"] = own()
             state.update((json.dumps(saved),))
+            if timeout:
+                state.setTimeoutDuration(timeout)
         yield pd.DataFrame(out, columns=["stream_id", "seq", "text", "final"])
 
     return run
 
 
-def _apply(df: DataFrame, make) -> DataFrame:
+def _apply(df: DataFrame, make, timeout: int | None = TIMEOUT) -> DataFrame:
     own = df.select(F.col("stream_id").cast("string"), F.col("seq").cast("long"), "chunk", "final")
     if df.isStreaming:
-        return own.groupBy("stream_id").applyInPandasWithState(_stateful(make), OUT, "saved string", "append", GroupStateTimeout.NoTimeout)
+        kind = GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout
+        return own.groupBy("stream_id").applyInPandasWithState(_stateful(make, timeout), OUT, "saved string", "append", kind)
 
     def batch(parts):
         """A stream's rows come in order, in as many batches as they need; only the state of the current one is kept."""
-        key, now = None, None
+        key, now, last, ended = None, None, -1, True
         for pdf in parts:
             out = []
             for id, seq, chunk, final in zip(pdf["stream_id"], pdf["seq"], pdf["chunk"], pdf["final"]):
-                if id != key:
-                    key, now = id, make(None)
+                if now is None or id != key:
+                    if not ended:
+                        out.append((key, last + 1, now[1](), True))
+                    key, now, last, ended = id, make(None), -1, False
+                if ended or seq <= last:
+                    continue
+                last, final = seq, bool(final)
                 text = now[0](chunk or "") + (now[1]() if final else "")
+                ended = final
                 if text or final:
-                    out.append((id, seq, text, bool(final)))
+                    out.append((id, seq, text, final))
             yield pd.DataFrame(out, columns=["stream_id", "seq", "text", "final"])
+        if not ended:
+            yield pd.DataFrame([(key, last + 1, now[1](), True)], columns=["stream_id", "seq", "text", "final"])
 
     return own.repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInPandas(batch, OUT)
 
 
-def transform_chunks(df: DataFrame, spec: dict | None = None, window: int | None = None) -> DataFrame:
-    """stream_id, seq, text, final: the pieces of each stream's transformed text. Chunks may come late, not twice."""
+def transform_chunks(df: DataFrame, spec: dict | None = None, window: int | None = None, timeout: int | None = TIMEOUT) -> DataFrame:
+    """stream_id, seq, text, final: the pieces of each stream's transformed text.
+
+    Chunks may come late or several times (the first one counts; seq begins at 0). What a stream holds back is written
+    with its final chunk; without one, a batch writes it at the end, as a row of its own after the last, and a stream once
+    nothing has come for timeout milliseconds.
+    """
     compile_pipeline(spec)
     s = json.dumps(spec or {}, sort_keys=True)
 
@@ -80,10 +104,10 @@ def transform_chunks(df: DataFrame, spec: dict | None = None, window: int | None
         t = ChunkTransformer(cached(s), window, saved)
         return t.push, t.flush, t.state
 
-    return _apply(df, make)
+    return _apply(df, make, timeout)
 
 
-def tokenize_chunks(df: DataFrame, spec: dict | None = None, shape: str = "bracket") -> DataFrame:
+def tokenize_chunks(df: DataFrame, spec: dict | None = None, shape: str = "bracket", timeout: int | None = TIMEOUT) -> DataFrame:
     """The same with session tokens, numbered in each stream by first appearance."""
     compile_pipeline(spec)
 
@@ -93,17 +117,17 @@ def tokenize_chunks(df: DataFrame, spec: dict | None = None, shape: str = "brack
         t = ChunkTransformer(p, None, saved["chunks"] if saved else None)
         return t.push, t.flush, lambda: {"session": session.snapshot(), "chunks": t.state()}
 
-    return _apply(df, make)
+    return _apply(df, make, timeout)
 
 
-def restore_chunks(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
+def restore_chunks(df: DataFrame, mapping: dict[str, str], timeout: int | None = TIMEOUT) -> DataFrame:
     """Tokens of a bounded mapping back to values, also where a token is split between chunks."""
 
     def make(saved):
         r = ChunkRestorer(mapping, saved or "")
         return r.push, r.flush, lambda: r.carry
 
-    return _apply(df, make)
+    return _apply(df, make, timeout)
 
 
 def transform_stateless(df: DataFrame, text_col: str, spec: dict | None = None) -> DataFrame:

@@ -36,7 +36,7 @@ def test_guard(spark):
 def test_event_streams(spark):
     body = 'event: x\ndata: {"a":"x@y.zz"}\n\ndata: plain x@y.zz\r\n\r\n'
     df = spark.createDataFrame([("text/event-stream; charset=utf-8", body)], "c string, b string")
-    assert df.select(json_text.sanitize_body(F.col("c"), F.col("b"))).first()[0] == 'event: x\ndata: {"a":"[REDACTED]"}\n\ndata: plain [REDACTED]\r\n\r\n'
+    assert df.select(json_text.sanitize_body(F.col("c"), F.col("b"))["text"]).first()[0] == 'event: x\ndata: {"a":"[REDACTED]"}\n\ndata: plain [REDACTED]\r\n\r\n'
 
 
 def test_audit_sink_continues_chains(spark, tmp_path):
