@@ -11,6 +11,7 @@ import math
 import re
 import secrets
 from collections.abc import Callable
+from functools import reduce
 
 import regex
 from pyspark.sql import Column
@@ -245,11 +246,22 @@ def mask_column(value: Column, mask_char: str = "*", keep_leading: int = 0, keep
     return F.when(n <= kept, full).otherwise(F.concat(F.substring(value, 1, keep_leading), hidden, F.substring(value, n - keep_trailing + 1, F.lit(keep_trailing))))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), value evaluated once whatever f does with it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _djb_step(h: Column, unit: Column) -> Column:
+    return (h * 33).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(unit)
+
+
 def _djb_column(text: Column) -> Column:
+    """The hash of a text's UTF-16 units, as a number."""
+    wide = lambda p: F.when(p < 65536, F.array(p)).otherwise(F.array(F.lit(0xD800) + F.shiftright(p - 65536, 10), F.lit(0xDC00) + (p - 65536).bitwiseAND(F.lit(1023))))
     points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    pair = lambda p: F.when(p < 65536, F.array(p)).otherwise(F.array(F.lit(0xD800) + F.shiftright(p - 65536, 10), F.lit(0xDC00) + (p - 65536).bitwiseAND(F.lit(1023))))
-    step = lambda h, u: (h * 33).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(u)
-    return F.lpad(F.lower(F.hex(F.aggregate(F.flatten(F.transform(points, pair)), F.lit(5381).cast("long"), step))), 8, "0")
+    start = F.lit(5381).cast("long")
+    pairs = F.aggregate(F.flatten(F.transform(points, wide)), start, _djb_step)
+    return F.when(F.length(text) == F.octet_length(text), F.aggregate(points, start, _djb_step)).otherwise(pairs)
 
 
 def pseudonymize_column(value: Column, prefix: str = "id_", seed: str | None = None) -> Column:
@@ -257,7 +269,9 @@ def pseudonymize_column(value: Column, prefix: str = "id_", seed: str | None = N
     if seed is None:
         return F.when(value.isNotNull(), F.concat(F.lit(prefix), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 16)))
     head = F.concat(F.lit(f"{seed}:"), value)
-    return F.concat(F.lit(prefix), _djb_column(head), _djb_column(F.concat(head, F.lit(":v2"))))
+    written = lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")
+    longer = lambda h: reduce(_djb_step, [F.lit(ord(c)).cast("long") for c in ":v2"], h)  # noqa: E731 - the hash of head and :v2
+    return _let(_djb_column(head), lambda h: F.concat(F.lit(prefix), written(h), written(longer(h))))
 
 
 def hash_column(value: Column, pepper: str | None = None, truncate: int = 16) -> Column:
@@ -265,16 +279,23 @@ def hash_column(value: Column, pepper: str | None = None, truncate: int = 16) ->
     return F.substring(F.sha2(value if pepper is None else F.concat(F.lit(f"{pepper}:"), value), 256), 1, truncate)
 
 
-def generalize_column(value: Column, bucket_size: int = 10) -> Column:
-    """Of a number or of a text that is one; other texts stay."""
+def generalize_column(value: Column, bucket_size: int = 10, numeric: bool = False) -> Column:
+    """Of a number (numeric: the column is of a numeric type, so that no text is read) or of a text that is one; other texts stay."""
+    low = lambda n: F.floor(F.floor(n) / bucket_size) * bucket_size
+    named = lambda n: _let(low(n).cast("long"), lambda x: F.concat_ws("-", x, x + F.lit(bucket_size - 1).cast("long")))
+    if numeric:
+        n = value.cast("double")
+        return F.when(~F.isnan(n) & (F.abs(n) < float("inf")), named(n)).otherwise(value.cast("string"))
     text = value.cast("string")
+
+    def number(t: Column) -> Column:
+        plain = F.when(t.rlike(r"\A[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\z"), t.try_cast("double"))
+        based = lambda mark, digits, base: F.when(t.rlike(rf"\A0{mark}{digits}{{1,12}}\z"), F.conv(F.substring(t, F.lit(3), F.length(t)), base, 10).cast("double"))
+        return F.when(t == "", 0.0).otherwise(F.coalesce(plain, based("[xX]", "[0-9a-fA-F]", 16), based("[oO]", "[0-7]", 8), based("[bB]", "[01]", 2)))
+
     trimmed = F.regexp_replace(text, r"\A[\s\xa0\ufeff\u2028\u2029]+|[\s\xa0\ufeff\u2028\u2029]+\z", "")
-    plain = F.when(trimmed.rlike(r"\A[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\z"), trimmed.try_cast("double"))
-    based = lambda mark, digits, base: F.when(trimmed.rlike(rf"\A0{mark}{digits}{{1,12}}\z"), F.conv(F.substring(trimmed, F.lit(3), F.length(trimmed)), base, 10).cast("double"))
-    n = F.when(trimmed == "", 0.0).otherwise(F.coalesce(plain, based("[xX]", "[0-9a-fA-F]", 16), based("[oO]", "[0-7]", 8), based("[bB]", "[01]", 2)))
-    finite = n.isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf"))
-    low = F.floor(F.floor(n) / bucket_size) * bucket_size
-    return F.when(finite, F.concat_ws("-", low.cast("long"), (low + bucket_size - 1).cast("long"))).otherwise(text)
+    bucket = _let(trimmed, lambda t: _let(number(t), lambda n: F.when(n.isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf")), named(n))))
+    return F.coalesce(bucket, text)
 
 
 def encrypt_column(value: Column, key: Column, aad: str = "") -> Column:

@@ -29,7 +29,11 @@ def anonymize_record(df: DataFrame, rules: dict[str, dict], key: Column | None =
         if kind is None or isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
             continue
         own = F.col(".".join(f"`{p}`" for p in (head, *rest)))
-        new = strategies.column(own.cast("string"), spec, key)
+        if spec.get("strategy") == "generalize" and isinstance(kind, T.NumericType):
+            strategies.replacer(spec)  # refuses wrong options
+            new = strategies.generalize_column(own, spec.get("bucket_size", 10), numeric=True)
+        else:
+            new = strategies.column(own.cast("string"), spec, key)
         if not rest:
             df = df.withColumn(head, new)
         else:
