@@ -281,55 +281,126 @@ def test_licenses_against_containment_everywhere(spark):
 # LM scoring
 
 
-def test_lm_gradient_and_scores(spark):
+def slow_probability(net, near, target):
+    """The network's definition, one token at a time."""
+    h = np.tanh(sum(net.embed[t].astype(float) * net.scale[i] for i, t in enumerate(near)) + net.bias)
+    g = [float(h @ net.group[i] + net.group_bias[i]) for i in range(lm.GROUPS)]
+    own = range(target // lm.SIZE * lm.SIZE, (target // lm.SIZE + 1) * lm.SIZE)
+    z = [float(h @ net.out[i] + net.out_bias[i]) for i in own]
+    return g[target // lm.SIZE] - np.log(np.sum(np.exp(g))) + z[target % lm.SIZE] - np.log(np.sum(np.exp(z)))
+
+
+def test_lm_network(spark):
     rng = np.random.default_rng(0)
-    net = lm.Network.start()
-    left, right, counts = rng.integers(0, lm.TOKENS, 7), rng.integers(0, lm.TOKENS, 7), rng.integers(0, 4, (7, lm.TOKENS)).astype(float)
-    counts[:, 0] = 0
-    like, g = net.gradient(left, right, counts)
-    for p, d in zip(net.parts(), g):
-        at = tuple(rng.integers(0, s) for s in p.shape)
-        p[at] += 1e-5
-        up = net.gradient(left, right, counts)[0]
-        p[at] -= 1e-5
-        assert abs((up - like) / 1e-5 - d[at]) < 1e-2 * max(1, abs(d[at]))
-
-
-def test_lm_prefers_the_corpus_order_and_equals_a_loop(spark, monkeypatch):
+    counts = rng.integers(0, 50, lm.TOKENS)
+    counts[0] = 0
+    net = lm.Network.start(counts)
+    net = lm.Network([p + rng.normal(0, 0.3, p.shape).astype(np.float32) for p in net.parts])
+    near, target = rng.integers(0, lm.TOKENS, (40, 2 * lm.SIDE)), rng.integers(1, lm.TOKENS, 40)
+    near[:, 1] = near[0, 1]  # one token in many places
+    want = [slow_probability(net, n, t) for n, t in zip(near.tolist(), target.tolist())]
+    assert np.allclose(net.log_probabilities(near, target), want, atol=1e-3)
+    like, grads = net.gradient(near, target)
+    assert abs(like - sum(want)) < 1e-2
+    total = lambda parts: sum(slow_probability(lm.Network(parts), n, t) for n, t in zip(near.tolist(), target.tolist()))
+    for i, g in enumerate(grads):
+        for at in sorted(zip(*np.nonzero(np.abs(g) > 0.05)), key=lambda x: -abs(g[x]))[:3]:
+            parts = [p.astype(np.float64) for p in net.parts]
+            parts[i][at] += 1e-4
+            up = total(parts)
+            parts[i][at] -= 2e-4
+            assert abs((up - total(parts)) / 2e-4 - g[at]) < 0.02 * max(1, abs(g[at])), (i, at)
+
+
+def loop_scores(rows, net, vocab):
+    """The docstring's score by plain loops over words: the network, the word's share of its class, the contexts of other rows."""
+    hashed = lambda w: int(lm.word_hashes([w.encode()])[0].view(np.int64)[0])
+    docs_ = [[w.lower() for w in (t or "").split()] for _, t, *_ in rows]
+    tokens = {w: int(vocab.tokens(np.array([hashed(w)], dtype=np.int64).view(np.uint64))[0]) for d in docs_ for w in d}
+    words, of_token, seen = Counter(w for d in docs_ for w in d), Counter(), []
+    for w, n in words.items():
+        of_token[tokens[w]] += n
+    around = lambda d, i: (d[i - 1] if i else None, d[i + 1] if i + 1 < len(d) else None)
+    for d in docs_:
+        seen.append((Counter(around(d, i) for i in range(len(d))), Counter((around(d, i), tokens[d[i]]) for i in range(len(d)))))
+    all_c, all_t = sum((c for c, _ in seen), Counter()), sum((t for _, t in seen), Counter())
+    out = []
+    for d, (c, t) in zip(docs_, seen):
+        score = 0.0
+        for i, w in enumerate(d):
+            near = [tokens[d[j]] if 0 <= j < len(d) else 0 for j in [*range(i - lm.SIDE, i), *range(i + 1, i + 1 + lm.SIDE)]]
+            lp, k = round(slow_probability(net, near, tokens[w]) * lm.FINE) / lm.FINE, around(d, i)
+            n, there = all_c[k] - c[k], all_t[k, tokens[w]] - t[k, tokens[w]]
+            score += np.log((there + lm.KAPPA * np.exp(lp)) / (n + lm.KAPPA)) if n else lp
+            score += np.log(words[w] / of_token[tokens[w]]) if tokens[w] > vocab.last else 0
+        out.append((len(d), score))
+    return out
+
+
+def test_lm_scores_equal_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(lm, "RUN", 3000)
+    monkeypatch.setattr(lm, "RANGE", 200)
+    monkeypatch.setattr(lm, "WORDS", 25)
     rng = random.Random(2)
-    rows = [(i, " ".join(["alpha beta gamma"] * rng.randint(1, 20)), None, None) for i in range(60)]
-    rows += [(900, "gamma gamma alpha alpha beta beta", None, None), (901, "alpha beta gamma alpha beta gamma", None, None), (902, None, None, None), (903, " \n", None, None), (None, "Alpha BETA gamma", None, None)]
-    got = {r["doc_id"]: r for r in lm.score(docs(spark, rows), steps=30).collect()}
-    assert got[901]["mean_log_likelihood"] > got[900]["mean_log_likelihood"]
-    assert (got[902]["n_tokens"], got[902]["log_likelihood"], got[902]["mean_log_likelihood"]) == (0, 0.0, None) == (got[903]["n_tokens"], got[903]["log_likelihood"], got[903]["mean_log_likelihood"])
-    d = lm.pick(docs(spark, rows), doc="doc_id", text="text")
-    vocab = lm.vocabulary(d)
-    net = lm.train(lm.contexts(d, vocab), steps=30)
-    table = net.table()
-    for i, t in ((901, rows[61][1]), (None, rows[-1][1])):
-        h, _ = lm.word_hashes([lm.lowered(t)])
-        x = [0, *lm.tokens(h, vocab), 0]
-        want = sum(float(table[x[j - 1] * lm.TOKENS + x[j + 1], x[j]]) for j in range(1, len(x) - 1))
-        assert abs(got[i]["log_likelihood"] - want) < 1e-3
-    assert lm.score(docs(spark, [])).count() == 0
-
-
-def test_lm_scores_each_rare_word_by_its_own_count(spark, monkeypatch):
-    monkeypatch.setattr(lm, "RUN", 4000)
-    rows = [(i, " ".join(f"c{j}" for j in range(lm.WORDS) for _ in range(2)), None, None) for i in range(30)]
-    hashed = lambda w: int(lm.word_hashes([w.encode()])[0][0])
-    of = lambda w: hashed(w) % (lm.TOKENS - lm.WORDS - 1)
-    known = [f"k{j}" for j in range(200) if of(f"k{j}") == of("k0")][:2]
-    rows += [(100 + i, f"c0 {known[0]} c1", None, None) for i in range(20)] + [(200, f"c0 {known[1]} c1", None, None), (201, f"c0 {known[0]} {known[0]} {known[1]}", None, None), (None, None, None, None)]
-    got = {r["doc_id"]: r for r in lm.score(docs(spark, rows), steps=5).collect()}
-    assert len(got) == len(rows) and got[None]["n_tokens"] == 0
-    assert abs(got[100]["log_likelihood"] - got[200]["log_likelihood"] - np.log(22 / 2)) < 1e-6
-    d = lm.pick(docs(spark, rows), doc="doc_id", text="text")
-    vocab = lm.vocabulary(d)
-    table = lm.train(lm.contexts(d, vocab), steps=5).table()
-    x = [0, *lm.tokens(lm.word_hashes([rows[-2][1].encode()])[0], vocab), 0]
-    want = sum(float(table[x[j - 1] * lm.TOKENS + x[j + 1], x[j]]) for j in range(1, len(x) - 1)) + 2 * np.log(22 / 24) + np.log(2 / 24)
-    assert abs(got[201]["log_likelihood"] - want) < 1e-3
+    words = [f"w{int(rng.paretovariate(0.7)) % 400}" for _ in range(3000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 9, 80]))), None, None) for i in range(120)]
+    rows += [(500, rows[3][1], None, None), (500, rows[3][1].upper(), None, None), (900, None, None, None), (901, " \n", None, None), (None, "w1 W2 w3", None, None), (902, "w1 " * 40_000, None, None)]
+    d = docs(spark, rows).repartition(3)
+    got = {(r["doc_id"], r["n_tokens"], round(r["log_likelihood"], 1), r["mean_log_likelihood"] is None) for r in lm.score(d).collect()}
+    assert len(lm.score(d).collect()) == len(rows)
+    p = lm.pick(d, doc="doc_id", text="text")
+    counts = lm.word_counts(p)
+    vocab = lm.Vocabulary.of(counts, lm.WORDS)
+    net = lm.train(p, vocab, lm.token_counts(counts, vocab))
+    want = [(i, n, s) for (i, *_), (n, s) in zip(rows, loop_scores(rows, net, vocab))]
+    for i, n, s in want:  # but for what lies at the edge of two steps of 1 / FINE
+        assert any(g[:2] == (i, n) and abs(g[2] - s) < 0.06 + 1e-4 * n for g in got), (i, n, s, [g for g in got if g[0] == i])
+    assert all(g[3] == (g[1] == 0) for g in got)
+
+
+def test_lm_tells_texts_that_occur_twice_and_trains(spark):
+    rng = random.Random(5)
+    words = [f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(20000)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, say(rng.randint(30, 200)), None, None) for i in range(300)]
+    rows += [(1000 + i, t, None, None) for i in range(20) for t in [say(rng.randint(30, 200))] for _ in range(2)]
+    rows += [(2000 + i, "alpha beta gamma delta " * rng.randint(4, 9), None, None) for i in range(60)] + [(3000, "delta beta alpha gamma " * 9, None, None)]
+    got = {r["doc_id"]: r["mean_log_likelihood"] for r in lm.score(docs(spark, rows)).collect()}
+    once, twice = [got[i] for i in range(300)], [got[1000 + i] for i in range(20)]
+    assert min(twice) > np.quantile(once, 0.95) and got[2000] > got[3000] + 1
+    p = lm.pick(docs(spark, [r for r in rows if 2000 <= r[0] < 3000]), doc="doc_id", text="text")
+    counts = lm.word_counts(p)
+    vocab = lm.Vocabulary.of(counts)
+    of = lm.token_counts(counts, vocab)
+    h, c = lm.word_hashes([b"alpha beta gamma delta " * 9])
+    x, _, place = lm.framed(h, c, vocab)
+    like = [float(n.log_probabilities(lm.window(x, place), x[place]).mean()) for n in (lm.Network.start(of), lm.train(p, vocab, of, rounds=6, mask=2))]
+    assert like[1] > like[0] + 0.2
+
+
+def test_lm_leaves_hot_contexts_to_the_network(spark, monkeypatch):
+    rows = [(i, "the cat the dog the cow", None, None) for i in range(30)]
+    p = lm.pick(docs(spark, rows), doc="doc_id", text="text")
+    monkeypatch.setattr(lm, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(lm, "HOT_LEAST", 29)
+    monkeypatch.setattr(lm, "HOT_SHARE", 0)
+    assert len(lm.hot_contexts(p, 180)) == 5  # the _ the is one context with two places
+    monkeypatch.setattr(lm, "HOT_LEAST", 40)
+    assert len(lm.hot_contexts(p, 180)) == 1
+    assert lm.score(docs(spark, rows)).count() == 30 and lm.score(docs(spark, [])).count() == 0
+
+
+def test_lm_parameters_are_averaged_in_a_tree(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(60)), None, None) for i in range(40)]
+    p = lm.pick(docs(spark, rows).repartition(9), doc="doc_id", text="text")
+    counts = lm.word_counts(p)
+    vocab = lm.Vocabulary.of(counts)
+    flat = []
+    for fan in (64, 2):
+        monkeypatch.setattr(lm, "FAN", fan)
+        flat.append(lm.train(p, vocab, lm.token_counts(counts, vocab), rounds=1).flat())
+    assert np.allclose(*flat, atol=2e-3)
 
 
 # The pipeline
