@@ -320,6 +320,7 @@ def loop_scores(rows, net, vocab):
     words, of_token, seen = Counter(w for d in docs_ for w in d), Counter(), []
     for w, n in words.items():
         of_token[tokens[w]] += n
+    assert dict(of_token) == {t: n for t, n in enumerate(vocab.counts.tolist()) if n}
     around = lambda d, i: (d[i - 1] if i else None, d[i + 1] if i + 1 < len(d) else None)
     for d in docs_:
         seen.append((Counter(around(d, i) for i in range(len(d))), Counter((around(d, i), tokens[d[i]]) for i in range(len(d)))))
@@ -349,9 +350,8 @@ def test_lm_scores_equal_a_loop(spark, monkeypatch):
     got = {(r["doc_id"], r["n_tokens"], round(r["log_likelihood"], 1), r["mean_log_likelihood"] is None) for r in lm.score(d).collect()}
     assert len(lm.score(d).collect()) == len(rows)
     p = lm.pick(d, doc="doc_id", text="text")
-    counts = lm.word_counts(p)
-    vocab = lm.Vocabulary.of(counts, lm.WORDS)
-    net = lm.train(p, vocab, lm.token_counts(counts, vocab))
+    vocab = lm.Vocabulary.of(p, lm.WORDS)
+    net = lm.train(p, vocab)
     want = [(i, n, s) for (i, *_), (n, s) in zip(rows, loop_scores(rows, net, vocab))]
     for i, n, s in want:  # but for what lies at the edge of two steps of 1 / FINE
         assert any(g[:2] == (i, n) and abs(g[2] - s) < 0.06 + 1e-4 * n for g in got), (i, n, s, [g for g in got if g[0] == i])
@@ -369,12 +369,10 @@ def test_lm_tells_texts_that_occur_twice_and_trains(spark):
     once, twice = [got[i] for i in range(300)], [got[1000 + i] for i in range(20)]
     assert min(twice) > np.quantile(once, 0.95) and got[2000] > got[3000] + 1
     p = lm.pick(docs(spark, [r for r in rows if 2000 <= r[0] < 3000]), doc="doc_id", text="text")
-    counts = lm.word_counts(p)
-    vocab = lm.Vocabulary.of(counts)
-    of = lm.token_counts(counts, vocab)
+    vocab = lm.Vocabulary.of(p)
     h, c = lm.word_hashes([b"alpha beta gamma delta " * 9])
     x, _, place = lm.framed(h, c, vocab)
-    like = [float(n.log_probabilities(lm.window(x, place), x[place]).mean()) for n in (lm.Network.start(of), lm.train(p, vocab, of, rounds=6, mask=2))]
+    like = [float(n.log_probabilities(lm.window(x, place), x[place]).mean()) for n in (lm.Network.start(vocab.counts), lm.train(p, vocab, rounds=6, mask=2))]
     assert like[1] > like[0] + 0.2
 
 
@@ -394,12 +392,11 @@ def test_lm_parameters_are_averaged_in_a_tree(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(60)), None, None) for i in range(40)]
     p = lm.pick(docs(spark, rows).repartition(9), doc="doc_id", text="text")
-    counts = lm.word_counts(p)
-    vocab = lm.Vocabulary.of(counts)
+    vocab = lm.Vocabulary.of(p)
     flat = []
     for fan in (64, 2):
         monkeypatch.setattr(lm, "FAN", fan)
-        flat.append(lm.train(p, vocab, lm.token_counts(counts, vocab), rounds=1).flat())
+        flat.append(lm.train(p, vocab, rounds=1).flat())
     assert np.allclose(*flat, atol=2e-3)
 
 
