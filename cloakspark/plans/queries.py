@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import checksums as ck
 from ..functions import strategies
 from ..functions import tokens as tk
-from ..operators import audit, json_text, records, text, vault
+from ..operators import audit, guard, json_text, records, text, vault
 from ..sources import files
 from ..sources.tables import read_table as table
 from ..streaming import chunks
@@ -416,10 +416,32 @@ def json_unchanged(spark, d):
     return table(spark, d, "events").select("event_id", s.alias("s")).select("event_id", "s.json", "s.replaced")
 
 
-@query("json_long_numbers", "SELECT c_custkey AS k, '{\"card\":\"[REDACTED]\",\"n\":12345}' AS json FROM customer")
+_CARD = "'{\"card\":' || cast(4111111111111111 + (c_custkey % 3) * 10 as string) || ',\"n\":' || cast(c_custkey as string) || '}'"
+
+
+@query("json_long_numbers", f"SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN '{{\"card\":\"[REDACTED]\",\"n\":' || c_custkey::VARCHAR || '}}' ELSE {_CARD} END AS json FROM customer")
 def json_long_numbers(spark, d):
-    s = json_text.sanitize(F.lit('{"card":4111111111111111,"n":12345}'), {"categories": ["credit-card"]})
-    return table(spark, d, _C).select(F.col("c_custkey").alias("k"), s["json"].alias("json"))
+    """Numbers that are cards go, numbers that fail the checksum or are short stay."""
+    s = json_text.sanitize(F.col("t"), {"categories": ["credit-card"]})
+    return made(spark, d, _C, "c_custkey", _CARD).select("k", s["json"].alias("json"))
+
+
+_TWICE = "'{\"a\":\"u' || cast(c_custkey as string) || '@x.org\",\"' || case when c_custkey % 2 = 0 then 'a' else 'b' end || '\":\"clean\"}'"
+
+
+@query("json_repeated_keys", "SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 1 THEN '{\"a\":\"[REDACTED]\",\"b\":\"clean\"}' END AS json, CASE WHEN c_custkey % 2 = 0 THEN 'not JSON' END AS error FROM customer")
+def json_repeated_keys(spark, d):
+    s = json_text.sanitize(F.col("t"), {"categories": ["email"]})
+    return made(spark, d, _C, "c_custkey", _TWICE).select("k", s.alias("s")).select("k", "s.json", "s.error")
+
+
+@query("object_long_numbers", "SELECT c_custkey AS k, 4111111111111111 + c_custkey AS n, 'mail [REDACTED]' AS t, 4111111111111111 - c_custkey AS inner_n, CASE WHEN c_custkey % 2 = 0 THEN 'to [REDACTED]' END AS inner_t FROM customer")
+def object_long_numbers(spark, d):
+    mail = F.concat(F.lit("u"), F.col("c_custkey"), F.lit("@x.org"))
+    inner = F.struct((F.lit(4111111111111111) - F.col("c_custkey")).alias("n"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("to "), mail)).alias("t"))
+    o = F.struct((F.lit(4111111111111111) + F.col("c_custkey")).alias("n"), F.concat(F.lit("mail "), mail).alias("t"), F.array(inner).alias("list"))
+    out = records.anonymize_object(table(spark, d, _C).select(F.col("c_custkey").alias("k"), o.alias("o")), {"categories": ["email", "credit-card"]})
+    return out.select("k", "o.n", "o.t", F.col("o.list")[0]["n"].alias("inner_n"), F.col("o.list")[0]["t"].alias("inner_t"))
 
 
 # Tokens and the vault
@@ -449,6 +471,38 @@ def restore_by_conversation(spark, d):
     return vault.restore_scopes(done, "text", mapping, "conv_id", order=["turn"]).select("conv_id", "turn", "text", "restored")
 
 
+_SCOPE, _PLACE = "nullif(conv_id % 5, 0)", "nullif(turn % 3, 0)"
+_NULLS = f"'mail c' || coalesce(cast({_SCOPE} as string), 'none') || '@x.org of ' || cast(turn as string)"
+
+
+@query("tokenize_null_scopes", f"SELECT conv_id, turn, 'mail [EMAIL_0001] of ' || turn::VARCHAR AS text, {_NULLS} AS back, 1 AS restored FROM conversations")
+def tokenize_null_scopes(spark, d):
+    """Scopes and places that are null, and places that many rows share: no text leaves as it was."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.expr(_SCOPE).alias("s"), F.expr(_PLACE).alias("p"), F.expr(_NULLS).alias("text"))
+    done, mapping = vault.tokenize_scopes(rows, "text", "s", order=["p"], categories=["email"])
+    back = vault.restore_scopes(done.withColumn("back", F.col("text")), "back", mapping, "s", order=["p"])
+    return back.select("conv_id", "turn", "text", "back", "restored")
+
+
+_CALL = "'{\"role\":\"assistant\",\"content\":[{\"type\":\"text\",\"text\":\"to {0}\"}],\"tool_calls\":[{\"id\":\"i@x.org\",\"function\":{\"name\":\"send\",\"arguments\":\"{\\\\\"to\\\\\":\\\\\"{0}\\\\\"}\"}}]}'"
+_CALL_SQL, _CALL_SPARK = _CALL.replace("\\\\", "\\"), _CALL
+
+
+@query("chat_tool_calls", f"SELECT conv_id, turn, replace({_CALL_SQL}, '{{0}}', '[EMAIL_0001]') AS m, replace({_CALL_SQL}, '{{0}}', 'c' || conv_id::VARCHAR || '@x.org') AS back FROM conversations")
+def chat_tool_calls(spark, d):
+    """Content parts and the arguments of tool calls share their tokens; ids and names stay."""
+    raw = F.replace(F.expr(_CALL_SPARK), F.lit("{0}"), F.concat(F.lit("c"), F.col("conv_id"), F.lit("@x.org")))
+    done, mapping = guard.sanitize_chat(table(spark, d, "conversations").select("conv_id", "turn", raw.alias("m")), "conv_id", "turn", "m", categories=["email"])
+    return guard.restore_chat(done.withColumn("back", F.col("m")), "conv_id", "turn", "back", mapping)
+
+
+@query("restore_json_quotes", "SELECT c_custkey AS k, '{\"a\":\"said \\\"hi ' || c_custkey::VARCHAR || '\\\" [NAME_0002]\",\"n\":1.50}' AS j FROM customer")
+def restore_json_quotes(spark, d):
+    rows = table(spark, d, _C).select(F.col("c_custkey").alias("k"), F.lit('{"a":"said [NAME_0001] [NAME_0002]","n":1.50}').alias("j"))
+    mapping = table(spark, d, _C).select(F.col("c_custkey").alias("k"), F.lit("[NAME_0001]").alias("token"), F.concat(F.lit('"hi '), F.col("c_custkey"), F.lit('"')).alias("value"))
+    return guard.restore_json(rows, "j", mapping, "k")
+
+
 @query("tokenize_rowlocal", "SELECT c_custkey AS k, 'to [EMAIL_0002], cc [EMAIL_0001]' AS t, 2 AS n FROM customer")
 def tokenize_rowlocal(spark, d):
     rows = made(spark, d, _C, "c_custkey", _MAIL).select("k", vault.tokenize(F.col("t"), ["email"]).alias("x"))
@@ -596,6 +650,19 @@ def audit_verify_tampered(spark, d):
     return audit.verify(a).withColumn("index", F.col("index").cast("int"))
 
 
+@query(
+    "audit_guarded",
+    "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '[GUARDED]' ELSE 'service' END AS actor, '[{\"path\":\"/users/*/mail\",\"count\":1}]' AS fields, "
+    "'{\"note\":\"[GUARDED]\",\"card\":\"[GUARDED]\",\"n\":' || event_id::VARCHAR || '}' AS attributes, (3 + (event_id % 2 = 0)::INTEGER)::INTEGER AS guarded FROM events",
+)
+def audit_guarded(spark, d):
+    """Addresses and card numbers in actors, paths, texts and numbers don't get into the log."""
+    mail = F.concat(F.lit("u"), F.col("seq"), F.lit("@x.org"))
+    e = _events(spark, d).withColumn("actor", F.when(F.col("seq") % 2 == 0, mail).otherwise("service"))
+    e = e.withColumn("fields", F.concat(F.lit('[{"path":"/users/'), mail, F.lit('/mail","count":1}]'))).withColumn("attributes", F.concat(F.lit('{"note":"by '), mail, F.lit('","card":4111111111111111,"n":'), F.col("seq"), F.lit("}")))
+    return audit.seal(e).select(F.get_json_object("attributes", "$.n").cast("long").alias("event_id"), "actor", "fields", "attributes", "guarded")
+
+
 @query("audit_lines_roundtrip", "SELECT count(*) AS n, count(*) AS good FROM events")
 def audit_lines_roundtrip(spark, d):
     back = audit.from_lines(audit.to_lines(audit.seal(_events(spark, d))))
@@ -645,6 +712,18 @@ def chunks_equal_whole(spark, d):
     return whole.join(out, F.col("doc_id").cast("string") == F.col("stream_id")).select("doc_id", (F.col("out") == F.col("want")).alias("same"))
 
 
+@query("chunks_without_final", "SELECT doc_id, true AS same FROM documents WHERE text IS NOT NULL AND text <> ''")
+def chunks_without_final(spark, d):
+    """Streams of which every other one has no final chunk, with every chunk sent twice."""
+    docs, spec = table(spark, d, "documents").where("text IS NOT NULL AND text <> ''"), {"categories": THREE}
+    n = F.ceil(F.length("text") / 97).cast("int")
+    parts = docs.select(F.col("doc_id").cast("string").alias("stream_id"), "text", n.alias("n"), F.posexplode(F.sequence(F.lit(0), n - 1)).alias("seq", "i"))
+    parts = parts.select("stream_id", "seq", F.substring("text", F.col("i") * 97 + 1, F.lit(97)).alias("chunk"), ((F.col("i") == F.col("n") - 1) & (F.col("stream_id").cast("long") % 2 == 0)).alias("final"))
+    out = chunks.transform_chunks(parts.union(parts), spec).groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("out"))
+    whole = docs.select(F.col("doc_id"), text.transform(F.col("text"), spec)["text"].alias("want"))
+    return whole.join(out, F.col("doc_id").cast("string") == F.col("stream_id")).select("doc_id", (F.col("out") == F.col("want")).alias("same"))
+
+
 @query("detections_by_hour", "SELECT date_trunc('hour', ts) AS window_start, 'email' AS category, count(*) AS n FROM events WHERE user_id % 2 = 0 GROUP BY 1")
 def detections_by_hour(spark, d):
     e = table(spark, d, "events").select("ts", F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("u"), F.col("user_id"), F.lit("@x.org"))).otherwise("nothing").alias("t"))
@@ -657,3 +736,12 @@ def http_bodies(spark, d):
     kind = F.element_at(F.array(F.lit("application/json; charset=utf-8"), F.lit("text/plain"), F.lit("image/png")), (F.col("k") % 3 + 1).cast("int"))
     return df.select("k", json_text.sanitize_body(kind, F.col("t"), {"categories": ["email"]})["text"].alias("body"))
 
+
+
+@query("http_bytes", "SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 2 THEN NULL ELSE 'é' || c_custkey::VARCHAR END AS text, CASE c_custkey % 3 WHEN 2 THEN 'not in its charset' END AS error FROM customer")
+def http_bytes(spark, d):
+    """Bytes in the charset of their content type, and bytes that aren't."""
+    said = F.concat(F.lit("é"), F.col("c_custkey"))
+    kind = F.element_at(F.array(F.lit("text/plain; charset=iso-8859-1"), F.lit("text/plain"), F.lit('text/plain; charset="utf-8"')), (F.col("c_custkey") % 3 + 1).cast("int"))
+    body = F.when(F.col("c_custkey") % 3 == 1, F.encode(said, "utf-8")).otherwise(F.encode(said, "iso-8859-1"))
+    return table(spark, d, _C).select(F.col("c_custkey").alias("k"), json_text.decode_body(kind, F.lit(None).cast("string"), body).alias("x")).select("k", "x.text", "x.error")
