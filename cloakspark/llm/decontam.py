@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pick, text_batches, without
+from .common import batches, mix, pick, text_batches, without
 
 Q = 8
 #: Characters of a window; windows begin every half of it, and one ends at the item's end. Shorter items are one window.
@@ -28,8 +30,8 @@ EDITS = 0.075
 STEP = 16
 #: What fills the space between documents: no character, and at least so many of it that no band reaches two documents.
 GAP, GAP_CHAR = 128, 0xFFFFFFFE
-#: Characters of benchmark items that tasks hold at once; more items are looked for in several passes.
-ITEM_CHARS = 1 << 20
+#: Characters of benchmark items that tasks hold at once, and bytes of texts in which several such blocks are looked for in turn.
+ITEM_CHARS, HOLD = 1 << 20, 1 << 24
 #: Characters of text that a task searches at once.
 AT_ONCE = 1 << 18
 #: Bits of the table that says which q-grams are worth a look.
@@ -179,22 +181,47 @@ class Index:
         return [(w, int(origin[r, at[r]]), int(end[r, at[r]]), int(edits[r])) for r, (w, _) in enumerate(found) if edits[r] <= self.k[w]]
 
 
-def _search(items: list[tuple[int, str | None]]):
+def _found(index: Index, parts):
+    """doc_id, item_id, start, end, edits, regions of Arrow batches (doc, text)."""
+    for doc, own in text_batches(parts, AT_ONCE):
+        texts = [folded(t) for t in own]
+        gaps = [GAP + -len(t) % STEP for t in texts]
+        starts = np.cumsum([0] + [len(t) + g for t, g in zip(texts, gaps[:-1])])
+        best: dict[tuple[int, int], list[int]] = {}
+        for w, begin, end, edits in index.matches(np.concatenate([y for t, g in zip(texts, gaps) for y in (t, np.full(g, GAP_CHAR, np.uint32))])):
+            i = int(np.searchsorted(starts, begin, side="right")) - 1
+            begin, end = begin - int(starts[i]), end - int(starts[i])
+            have = best.setdefault((i, index.windows[w][0]), [begin, end, edits, 0])
+            have[:] = [min(have[0], begin), max(have[1], end), min(have[2], edits), have[3] + 1]
+        rows = [(i, item, *v) for (i, item), v in sorted(best.items())]
+        columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 6
+        yield pa.RecordBatch.from_arrays([doc.take(columns[0]), *columns[1:]], ["doc_id", "item_id", "start", "end", "edits", "regions"])
+
+
+def _search(blocks: list[Broadcast]):
+    """One pass: a task holds a run of texts and looks for the items of one block after another in it."""
+
+    def held(parts):
+        run, size = [], 0
+        for part in parts:
+            for a, b in batches(pc.binary_length(part.column("text")).to_numpy(zero_copy_only=False), HOLD):
+                run.append(part.slice(a, b - a))
+                size += run[-1].nbytes
+                if size >= HOLD:
+                    yield run
+                    run, size = [], 0
+        if run:
+            yield run
+
     def run(parts):
-        index = Index(items)
-        for doc, own in text_batches(parts, AT_ONCE):
-            texts = [folded(t) for t in own]
-            gaps = [GAP + -len(t) % STEP for t in texts]
-            starts = np.cumsum([0] + [len(t) + g for t, g in zip(texts, gaps[:-1])])
-            best: dict[tuple[int, int], list[int]] = {}
-            for w, begin, end, edits in index.matches(np.concatenate([y for t, g in zip(texts, gaps) for y in (t, np.full(g, GAP_CHAR, np.uint32))])):
-                i = int(np.searchsorted(starts, begin, side="right")) - 1
-                begin, end = begin - int(starts[i]), end - int(starts[i])
-                have = best.setdefault((i, index.windows[w][0]), [begin, end, edits, 0])
-                have[:] = [min(have[0], begin), max(have[1], end), min(have[2], edits), have[3] + 1]
-            rows = [(i, item, *v) for (i, item), v in sorted(best.items())]
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 6
-            yield pa.RecordBatch.from_arrays([doc.take(columns[0]), *columns[1:]], ["doc_id", "item_id", "start", "end", "edits", "regions"])
+        if len(blocks) == 1:
+            yield from _found(Index(blocks[0].value), parts)
+            return
+        for some in held(parts):
+            for block in blocks:
+                index = Index(block.value)
+                block.__dict__.pop("_value", None)  # it can be read again from its file
+                yield from _found(index, some)
 
     return run
 
@@ -205,19 +232,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     start and end span all verified regions (code points, end exclusive), edits is the least of their distances,
     regions their number. Texts and items of fewer than q characters, null and empty ones have no q-gram and no row.
     Items with a null id aren't looked for; rows that repeat an id give rows each; equal items each give a row; either table may be
-    empty; a null doc_id stays null. The items go to all tasks in blocks of a bounded number of characters, a pass over the
-    documents for each block.
+    empty; a null doc_id stays null. The items go to all tasks in blocks of a bounded number of characters (or one item), of which
+    a task holds one at a time; the documents are read once.
     """
     d = pick(docs, doc=id_col, text=text_col)
     d = d.withColumn("doc", F.col("doc").cast("long"))
     b = pick(benchmark, item=item_col, text=item_text_col).where("item IS NOT NULL AND text IS NOT NULL").withColumn("item", F.col("item").cast("long"))
-    blocks = -(-int(b.agg(F.sum(F.length("text"))).first()[0] or 0) // ITEM_CHARS)
-    out = None
-    for i in range(max(1, blocks)):
-        items = sorted((r["item"], r["text"]) for r in b.where(F.pmod(F.xxhash64("item"), F.lit(max(1, blocks))) == i).collect())
-        part = d.where(F.length("text") > 0).mapInArrow(_search(items), "doc_id long, item_id long, start long, end long, edits long, regions long")
-        out = part if out is None else out.unionAll(part)
-    return out
+    blocks = max(1, -(-int(b.agg(F.sum(F.length("text"))).first()[0] or 0) // ITEM_CHARS))
+    sent = []
+    for i in range(blocks):
+        items = sorted((r["item"], r["text"]) for r in b.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == i).collect())
+        sent.append(d.sparkSession.sparkContext.broadcast(items))
+        if blocks > 1:
+            sent[-1].__dict__.pop("_value", None)  # the driver, too, holds one block at a time
+    return d.where(F.length("text") > 0).mapInArrow(_search(sent), "doc_id long, item_id long, start long, end long, edits long, regions long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **items: str) -> DataFrame:

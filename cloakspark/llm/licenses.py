@@ -18,7 +18,7 @@ K = 3
 BANDS = 42
 CONTAINMENT = 0.8
 #: Shingles between the beginnings of the narrowest windows; each further width doubles it.
-WIDTH = 4
+WIDTH = 2
 #: Characters of text that a task scans at once.
 AT_ONCE = 1 << 21
 
