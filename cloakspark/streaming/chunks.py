@@ -13,8 +13,6 @@ from ..functions.chunks import ChunkRestorer, ChunkTransformer
 from ..functions.tokens import Session
 from ..plans.spec import cached, compile_pipeline
 
-#: Milliseconds without a chunk after which a stream counts as ended.
-TIMEOUT = 3_600_000
 OUT = "stream_id string, seq long, text string, final boolean"
 
 
@@ -60,7 +58,7 @@ def _stateful(make, timeout: int | None):
     return run
 
 
-def _apply(df: DataFrame, make, timeout: int | None = TIMEOUT) -> DataFrame:
+def _apply(df: DataFrame, make, timeout: int | None = None) -> DataFrame:
     own = df.select(F.col("stream_id").cast("string"), F.col("seq").cast("long"), "chunk", "final")
     if df.isStreaming:
         kind = GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout
@@ -90,12 +88,13 @@ def _apply(df: DataFrame, make, timeout: int | None = TIMEOUT) -> DataFrame:
     return own.repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInPandas(batch, OUT)
 
 
-def transform_chunks(df: DataFrame, spec: dict | None = None, window: int | None = None, timeout: int | None = TIMEOUT) -> DataFrame:
+def transform_chunks(df: DataFrame, spec: dict | None = None, window: int | None = None, timeout: int | None = None) -> DataFrame:
     """stream_id, seq, text, final: the pieces of each stream's transformed text.
 
     Chunks may come late or several times (the first one counts; seq begins at 0). What a stream holds back is written
     with its final chunk; without one, a batch writes it at the end, as a row of its own after the last, and a stream once
-    nothing has come for timeout milliseconds.
+    nothing has come for timeout milliseconds. Without a timeout, a stream keeps it. With one, the query always has another
+    batch to run: use it with triggers that go on, not with availableNow, which would never end.
     """
     compile_pipeline(spec)
     s = json.dumps(spec or {}, sort_keys=True)
@@ -107,7 +106,7 @@ def transform_chunks(df: DataFrame, spec: dict | None = None, window: int | None
     return _apply(df, make, timeout)
 
 
-def tokenize_chunks(df: DataFrame, spec: dict | None = None, shape: str = "bracket", timeout: int | None = TIMEOUT) -> DataFrame:
+def tokenize_chunks(df: DataFrame, spec: dict | None = None, shape: str = "bracket", timeout: int | None = None) -> DataFrame:
     """The same with session tokens, numbered in each stream by first appearance."""
     compile_pipeline(spec)
 
@@ -120,7 +119,7 @@ def tokenize_chunks(df: DataFrame, spec: dict | None = None, shape: str = "brack
     return _apply(df, make, timeout)
 
 
-def restore_chunks(df: DataFrame, mapping: dict[str, str], timeout: int | None = TIMEOUT) -> DataFrame:
+def restore_chunks(df: DataFrame, mapping: dict[str, str], timeout: int | None = None) -> DataFrame:
     """Tokens of a bounded mapping back to values, also where a token is split between chunks."""
 
     def make(saved):
