@@ -12,7 +12,8 @@ a tree, each by the tokens it saw. It starts from the counts of all tokens.
 The network is the prior of a memory: what stands between two words elsewhere in the corpus, not in the document
 itself, is counted exactly, and a token's probability is (n + KAPPA p) / (N + KAPPA), p the network's, n of N the
 token's count there. The counts of contexts stay on the executors and grow with the corpus. Contexts that a share of all
-positions have, of which there can only be a fixed number, are left to the network.
+positions have are counted before, and their positions spread over tasks to which the counts go along: at most one for
+each token. So all contexts count alike.
 
 A document's score is the sum of the log probabilities of its words, each given its real neighbours.
 """
@@ -42,8 +43,8 @@ ROUNDS, MASK, RATE = 1, 8, 0.2
 STEP, BLOCK = 2048, 1 << 15
 #: How much the network's probability weighs against what was counted in a context.
 KAPPA = 1.0
-#: Contexts of more positions than this, and than this share of all positions, are left to the network; their number is
-#: estimated from one document of so many.
+#: Contexts of more positions than this, and than this share of all positions, are counted before; which ones is estimated
+#: from one document of so many, and decides only about the way.
 HOT_LEAST, HOT_SHARE, HOT_SAMPLE = 1 << 18, 1 / (1 << 20), 64
 #: Contexts, or rare words, that a task reads at once, about.
 RANGE = 1 << 19
@@ -67,9 +68,11 @@ def _batches(parts):
     give_back()
 
 
-#: What is sent in packed columns, (bytes, type) each: contexts with token, row in the run and log probability; rare words
-#: with their rows; words with their counts.
+#: What is sent in packed columns, (bytes, type) each: contexts with token, row in the run and log probability; the same for
+#: one hot context; how often tokens stand in it; rare words with their rows; words with their counts.
 CONTEXT_FIELDS = ((7, U64), (2, np.uint16), (4, np.uint32), (1, np.uint8))
+HOT_FIELDS = CONTEXT_FIELDS[1:]
+THERE_FIELDS = ((2, np.uint16), (8, np.int64))
 WORD_FIELDS = ((8, U64), (4, np.uint32))
 COUNT_FIELDS = ((8, U64), (4, np.uint32))
 
@@ -77,12 +80,15 @@ COUNT_FIELDS = ((8, U64), (4, np.uint32))
 def packed(columns: list[np.ndarray], fields, ranges: int) -> list[tuple[int, bytes]]:
     """(range, entries) for columns of which the first, the key, is sorted: entries by columns and by the significance of
     bytes, so that what neighbours share compresses."""
-    key = columns[0]
-    if not len(key):
+    top = columns[0] >> U64(8 * fields[0][0] - 32)
+    return joined(top * U64(ranges) >> U64(32), columns, fields)
+
+
+def joined(of: np.ndarray, columns: list[np.ndarray], fields) -> list[tuple[int, bytes]]:
+    """(range, entries) for columns of which of, sorted, says the ranges."""
+    if not len(of):
         return []
-    top = key >> U64(8 * fields[0][0] - 32)
-    of = top * U64(ranges) >> U64(32)
-    bounds = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(key)]
+    bounds = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
     own = [c.astype(kind, copy=False).view(np.uint8).reshape(len(c), -1)[:, :width] for c, (width, kind) in zip(columns, fields)]
     return [(int(of[a]), b"".join(c[a:b].T.tobytes() for c in own)) for a, b in zip(bounds, bounds[1:])]
 
@@ -358,7 +364,7 @@ def contexts(y: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def hot_contexts(d: DataFrame, positions: int) -> np.ndarray:
-    """The contexts of too many positions, sorted: fewer than 1 / HOT_SHARE, about."""
+    """The contexts of too many positions for one task, sorted: fewer than 1 / HOT_SHARE, about."""
     empty = Vocabulary(np.zeros(0, np.int64), np.zeros(0, np.int64), 0, np.zeros(0, np.int64))
 
     def run(parts):
@@ -372,13 +378,61 @@ def hot_contexts(d: DataFrame, positions: int) -> np.ndarray:
     return np.sort(np.array([r["k"] for r in often.select("k").collect()], dtype=np.int64)).view(U64)
 
 
-def corrections(context: np.ndarray, token: np.ndarray, row: np.ndarray, lp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def among(key: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which contexts are hot, and the place of each of these among the hot ones."""
+    if not len(hot):
+        return np.zeros(len(key), dtype=bool), np.zeros(0, dtype=np.int64)
+    at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+    some = hot[at] == key
+    return some, at[some]
+
+
+def hot_counts(d: DataFrame, vocab: Vocabulary, hot: np.ndarray) -> DataFrame:
+    """at, token, n: how often each token stands in each hot context."""
+
+    def run(parts):
+        for h, c in _batches(parts):
+            x, y, place = framed(h, c, vocab)
+            some, at = among(contexts(y, place), hot)
+            pair, n = np.unique(at * TOKENS + x[place][some], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair // TOKENS), pa.array(pair % TOKENS), pa.array(n, pa.int64())], ["at", "token", "n"])
+
+    return d.select("text").mapInArrow(run, "at long, token long, n long").groupBy("at", "token").agg(F.sum("n").alias("n"))
+
+
+def hot_sent(counts: DataFrame, slices: np.ndarray) -> DataFrame:
+    """The counts of hot_counts, packed, for each slice of their context: rows without a row, as _sums takes them."""
+
+    def run(parts):
+        rest = [np.zeros(0, dtype=np.int64)] * 3
+
+        def whole(at, token, n):
+            rows = joined(at, [token.astype(np.uint16), n], THERE_FIELDS)
+            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([slices[r] for r, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], ["at", "slices", "entries"])
+
+        for part in parts:
+            columns = [np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, part.columns)]
+            a = np.searchsorted(columns[0], columns[0][-1:])  # the last context may go on
+            a = int(a[0]) if len(a) else 0
+            yield whole(*[c[:a] for c in columns])
+            rest = [c[a:] for c in columns]
+        yield whole(*rest)
+
+    rows = counts.repartition("at").sortWithinPartitions("at").mapInArrow(run, "at long, slices long, entries binary")
+    each = rows.select("at", "entries", F.explode(F.expr("sequence(0L, slices - 1)")).alias("slice"))
+    none = lambda c: F.lit(None).cast(c)
+    return each.select(F.lit(HOT).alias("kind"), (F.col("at") * SLICES + F.col("slice")).alias("range"), none("long").alias("row"), "entries", none("long").alias("doc_id"), none("long").alias("n_tokens"), none("double").alias("value"))
+
+
+def corrections(context: np.ndarray, token: np.ndarray, row: np.ndarray, lp: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """row, and by how much each of its entries becomes likelier by what stands in the same context in other rows; entries
-    whose context has no other row are left out."""
+    whose context has no other row are left out. With counts, of all tokens, the entries are whole rows' of one context, but
+    not all rows'."""
     order = np.argsort(context, kind="stable")
     c = context[order]
-    same = c[1:] == c[:-1]
-    order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(c) else order
+    if counts is None and len(c):
+        same = c[1:] == c[:-1]
+        order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
     order = order[np.lexsort((token[order], row[order], context[order]))]
     c, t, r, p = context[order], token[order].astype(np.int64), row[order], lp[order]
     if not len(c):
@@ -387,9 +441,12 @@ def corrections(context: np.ndarray, token: np.ndarray, row: np.ndarray, lp: np.
     of_context, begins = _sizes(begins), begins | np.concatenate([[True], r[1:] != r[:-1]])
     of_row, begins = _sizes(begins), begins | np.concatenate([[True], t[1:] != t[:-1]])
     alone = _sizes(begins)
-    again = np.lexsort((t, c))
-    of_token = np.empty(len(c), dtype=np.int64)
-    of_token[again] = _sizes(np.concatenate([[True], (c[again[1:]] != c[again[:-1]]) | (t[again[1:]] != t[again[:-1]])]))
+    if counts is None:
+        again = np.lexsort((t, c))
+        of_token = np.empty(len(c), dtype=np.int64)
+        of_token[again] = _sizes(np.concatenate([[True], (c[again[1:]] != c[again[:-1]]) | (t[again[1:]] != t[again[:-1]])]))
+    else:
+        of_context, of_token = np.full(len(c), counts.sum()), counts[t]
     elsewhere, there = of_context - of_row, of_token - alone
     some = elsewhere > 0
     q = p[some].astype(np.float64) / -FINE
@@ -403,7 +460,11 @@ def _sizes(begins: np.ndarray) -> np.ndarray:
     return np.repeat(n, n)
 
 
-DOC, WORD, CONTEXT = 0, 1, 2
+DOC, WORD, CONTEXT, HOT = 0, 1, 2, 3
+#: The fields of each kind, and which of them is the row.
+FIELDS = {WORD: (WORD_FIELDS, 1), CONTEXT: (CONTEXT_FIELDS, 2), HOT: (HOT_FIELDS, 1)}
+#: Ranges of a hot context begin at its place among them times this.
+SLICES = 1 << 40
 
 
 def _shares(word: np.ndarray, row: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -413,14 +474,21 @@ def _shares(word: np.ndarray, row: np.ndarray, vocab: Vocabulary) -> tuple[np.nd
 
 
 def _sums(vocab: Vocabulary):
-    """Rows sorted by kind and range, to row, doc_id, n_tokens, value: documents as they are, the words and contexts of a range together."""
+    """Rows sorted by kind and range, to row, doc_id, n_tokens, value: documents as they are, the words and contexts of a range together,
+    with the counts of a hot context."""
 
-    def close(kind, held):
+    def close(kind, held, there):
         columns = [np.concatenate(x) for x in zip(*held)]
-        return _by_row(*(_shares(*columns, vocab) if kind == WORD else corrections(columns[0], columns[1], columns[2], columns[3])))
+        if kind == WORD:
+            return _by_row(*_shares(*columns, vocab))
+        if kind == CONTEXT:
+            return _by_row(*corrections(*columns))
+        counts = np.zeros(TOKENS, dtype=np.int64)
+        counts[there[0]] = there[1]
+        return _by_row(*corrections(np.zeros(len(columns[0]), dtype=U64), *columns, counts))
 
     def run(parts):
-        at, held = None, []
+        at, held, there = None, [], None
         for part in parts:
             kinds = part.column("kind").to_numpy(zero_copy_only=False)
             own = part.filter(pa.array(kinds == DOC))
@@ -428,16 +496,19 @@ def _sums(vocab: Vocabulary):
                 yield own.select(["row", "doc_id", "n_tokens", "value"])
             rest = part.filter(pa.array(kinds != DOC))
             for kind, r, first, b in zip(*[rest.column(c).to_pylist() for c in ("kind", "range", "row")], rest.column("entries")):
-                if (kind, r) != at and held:
-                    yield close(at[0], held)
-                    held = []
-                at = (kind, r)
-                columns = unpacked(b.as_py(), WORD_FIELDS if kind == WORD else CONTEXT_FIELDS)
-                i = 1 if kind == WORD else 2
+                if (kind, r) != at:
+                    if held:
+                        yield close(at[0], held, there)
+                    at, held, there = (kind, r), [], None
+                if first is None:
+                    there = unpacked(b.as_py(), THERE_FIELDS)
+                    continue
+                fields, i = FIELDS[kind]
+                columns = unpacked(b.as_py(), fields)
                 columns[i] = columns[i].astype(np.int64) + first
                 held.append(columns)
         if held:
-            yield close(at[0], held)
+            yield close(at[0], held, there)
 
     return run
 
@@ -459,7 +530,11 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ro
     vocab = Vocabulary.of(d, WORDS)
     net = train(d, vocab, rounds=rounds)
     positions = int(vocab.counts.sum())
-    hot = hot_contexts(d, positions)
+    hot, slices, counts = hot_contexts(d, positions), np.zeros(0, np.int64), None
+    if len(hot):
+        counts, slices = cut(hot_counts(d, vocab, hot)), np.ones(len(hot), dtype=np.int64)
+        for r in counts.groupBy("at").agg(F.sum("n").alias("n")).collect():
+            slices[r["at"]] = -(-r["n"] // RANGE)
     ranges = max(1, -(-positions // RANGE))
 
     def run(parts):
@@ -476,14 +551,21 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ro
             rare = np.flatnonzero(t > vocab.last)
             rare = rare[np.argsort(h[rare])]
             key = contexts(y, place)
-            keep = np.flatnonzero(~np.isin(key, hot)) if len(hot) else np.arange(len(key))
+            some, at = among(key, hot)
+            keep, spread = np.flatnonzero(~some), np.flatnonzero(some)
             keep = keep[np.argsort(key[keep])]
+            # A run's entries of a hot context go to one slice, so that a row's stay together.
+            to = at * SLICES + (mix(row[:1]) % slices[at].view(U64)).view(np.int64)
+            order = np.lexsort((t[spread], to))
+            to, spread = to[order], spread[order]
             blobs = [(WORD, *b) for b in packed([h[rare], owner[rare]], WORD_FIELDS, ranges)] + [(CONTEXT, *b) for b in packed([key[keep], t[keep], owner[keep], fine[keep]], CONTEXT_FIELDS, ranges)]
+            blobs += [(HOT, *b) for b in joined(to, [t[spread], owner[spread], fine[spread]], HOT_FIELDS)]
             for a in range(0, len(blobs), 256):
                 k = len(some := blobs[a : a + 256])
                 yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in some], pa.int32()), pa.array([b[1] for b in some], pa.int64()), pa.array(np.full(k, row[0])), pa.array([b[2] for b in some], pa.binary()), none(pa.int64(), k), none(pa.int64(), k), none(pa.float64(), k)], NAMES)
 
     sent = d.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "kind int, range long, row long, entries binary, doc_id long, n_tokens long, value double")
+    sent = sent.unionByName(hot_sent(counts, slices)) if counts is not None else sent
     parts = sent.repartition("kind", "range").sortWithinPartitions("kind", "range").mapInArrow(_sums(vocab), "row long, doc_id long, n_tokens long, value double")
     out = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("value").alias("log_likelihood")).drop("row")
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

@@ -388,6 +388,30 @@ def test_lm_leaves_hot_contexts_to_the_network(spark, monkeypatch):
     assert lm.score(docs(spark, rows)).count() == 30 and lm.score(docs(spark, [])).count() == 0
 
 
+def test_lm_counts_hot_contexts_exactly(spark, monkeypatch):
+    monkeypatch.setattr(lm, "WORDS", 25)
+    monkeypatch.setattr(lm, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(lm, "HOT_SHARE", 0)
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(3000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 9, 40]))), None, None) for i in range(200)]
+    rows += [(300 + i, "the cat the dog the cow", None, None) for i in range(40)] + [(400, "w1 " * 500, None, None), (401, "one " * 500, None, None), (402, None, None, None)]
+    d = docs(spark, rows).repartition(6)
+    p = lm.pick(d, doc="doc_id", text="text")
+    vocab = lm.Vocabulary.of(p, lm.WORDS)
+    want = loop_scores(rows, lm.train(p, vocab), vocab)
+    for least, size in ((3, 20), (30, 20), (3, 1 << 19)):  # all but the rarest, some, each in many slices or in one
+        monkeypatch.setattr(lm, "HOT_LEAST", least)
+        monkeypatch.setattr(lm, "RANGE", size)
+        hot = lm.hot_contexts(p, sum(n for n, _ in want))
+        counts = lm.hot_counts(p, vocab, hot).groupBy("at").sum("n").collect()
+        assert len(counts) == len(hot) > 5 and min(r["sum(n)"] for r in counts) > least and max(r["sum(n)"] for r in counts) > 500
+        got = {r["doc_id"]: (r["n_tokens"], r["log_likelihood"]) for r in lm.score(d).collect()}
+        assert len(got) == len(rows)
+        for (i, *_), (n, s) in zip(rows, want):
+            assert got[i][0] == n and abs(got[i][1] - s) < 0.06 + 1e-4 * n, (least, size, i, n, s, got[i])
+
+
 def test_lm_parameters_are_averaged_in_a_tree(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(60)), None, None) for i in range(40)]
