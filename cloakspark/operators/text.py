@@ -22,10 +22,11 @@ def _udf(f, kind: str):
     return F.udf(f, kind, useArrow=True).asNondeterministic()
 
 
-def detect(text: Column, categories=None, *, aggressive: bool = False, detectors: dict | None = None) -> Column:
-    """Array of (category, value, start, end, confidence), sorted and disjoint: the first generation's detection."""
+def detect(text: Column, categories=None, *, aggressive: bool = False, detectors: dict | None = None, apart: bool = False) -> Column:
+    """Array of (category, value, start, end, confidence), sorted and disjoint: the first generation's detection. With apart,
+    only matches of one category are disjoint: counts of a category are then the same whatever others are looked for."""
     Legacy({"categories": list(categories)} if categories else {}, detectors)
-    return _udf(lambda t: None if t is None else legacy.detect(t, categories, detectors=detectors, aggressive=aggressive), S.MATCHES)(text)
+    return _udf(lambda t: None if t is None else legacy.detect(t, categories, detectors=detectors, aggressive=aggressive, apart=apart), S.MATCHES)(text)
 
 
 def has_sensitive(text: Column, categories=None) -> Column:
