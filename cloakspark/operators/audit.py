@@ -11,11 +11,13 @@ import json
 import re
 from collections.abc import Callable
 from functools import lru_cache
+from json.encoder import encode_basestring
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import schemas as S
 from ..errors import AuditIntegrityError, ValidationError
@@ -29,6 +31,11 @@ _BODY = ("chain_id", "seq", "ts", "operation", "actor", "source", "policy", "fie
 #: What a log mustn't hold unless it is told otherwise: whatever the precise detectors find.
 _BUILTIN = json.dumps({"categories": "credit-card email iban ipv4 ipv6 national-id ssn".split()})
 _HEX = re.compile("[0-9a-f]{64}")
+_NAMES = tuple(c.split()[0] for c in S.AUDIT.split(", "))
+#: Distinct texts of which a task remembers what the guard made of them.
+REMEMBERED = 1 << 14
+#: Bits of the numbers that records of one block share where chains are verified.
+BLOCK_BITS = 12
 
 
 def builtin_guard(text: str) -> bool:
@@ -39,6 +46,25 @@ def record_hash(record: dict, key: bytes | None = None) -> str:
     return digest(canonical({k: record[k] for k in _BODY}), key, DOMAIN)
 
 
+def _writer(names: tuple[str, ...]) -> Callable[..., str]:
+    """canonical of a flat record whose values, given in the order of names, are mostly texts."""
+    order = sorted(range(len(names)), key=lambda i: names[i])  # the names are ASCII
+    form = "{" + ",".join(f'"{names[i]}":%s' for i in order) + "}"
+
+    def write(*row):
+        return form % tuple([encode_basestring(v) if type(v) is str else "null" if v is None else str(v) if type(v) is int else canonical(v) for v in map(row.__getitem__, order)])
+
+    return write
+
+
+_body, _line = _writer(_BODY), _writer(_NAMES)
+
+
+def _column(f, kind: str, to: pa.DataType):
+    """f of each row's values as a function of columns, without pandas between."""
+    return F.arrow_udf(lambda *columns: pa.array(map(f, *[c.to_pylist() for c in columns]), to), kind)
+
+
 def guard(text: str | None, sensitive: Callable[[str], bool]) -> tuple[str | None, int]:
     """The text, or the guard's label if it holds what an audit log mustn't."""
     return (GUARDED, 1) if text and sensitive(text) else (text, 0)
@@ -106,48 +132,65 @@ def seal(events: DataFrame, key: bytes | None = None, sensitive: Callable[[str],
     policy and checksums as JSON; seq gives the order).
 
     Nothing that sensitive (by default, the precise detectors) says yes to is written: texts, keys, numbers and parts of
-    paths become [GUARDED] or *, and guarded counts them. A chain is sealed by one task, a run of rows at a time: it hashes in order and holds only the last hash. Make
-    chains by job or partition to seal in parallel. heads continue chains that were written before.
+    paths become [GUARDED] or *, and guarded counts them; this is done where the events are. A chain is hashed by one task, a run of
+    rows at a time: it goes in order and holds only the last hash. Make chains by job or partition to hash in parallel. heads
+    continue chains that were written before.
     """
     tell = sensitive or builtin_guard
+    kinds = {"operation": None, "actor": None, "source": None, "fields": guard_json, "attributes": guard_json, "policy": ("digest",), "checksums": ("input", "output")}
+
+    def guarded(parts):
+        test = lru_cache(REMEMBERED)(tell)
+
+        def remembered(kind):
+            if kind is None:
+                return lambda t: guard(t, test)
+            return lru_cache(REMEMBERED)((lambda t: guard_json(t, test)) if kind is guard_json else (lambda t: guard_digests(t, kind, test)))
+
+        by = {c: remembered(kind) for c, kind in kinds.items()}
+        for part in parts:
+            counts = [0] * part.num_rows
+            for c, f in by.items():
+                new = []
+                for i, t in enumerate(part.column(c).to_pylist()):
+                    t, hit = (t, 0) if t is None else f(t)
+                    counts[i] += hit
+                    new.append(t)
+                part = part.set_column(part.schema.get_field_index(c), c, pa.array(new, pa.string()))
+            yield part.append_column("guarded", pa.array(counts, pa.int32()))
 
     def run(parts):
         last: dict[str, tuple[int, str]] = {}
-        test = lru_cache(maxsize=1 << 14)(tell)
-        for pdf in parts:
-            rows = []
-            for r in pdf.to_dict("records"):
-                start = (-1, GENESIS) if pd.isna(r["head_seq"]) else (int(r["head_seq"]), r["head_hash"])
-                n, prev = last.get(r["chain_id"], start)
-                count = 0
-                for c in ("operation", "actor", "source"):
-                    r[c], hit = guard(r[c], test)
-                    count += hit
-                for c in ("fields", "attributes"):
-                    r[c], hit = guard_json(r[c], test)
-                    count += hit
-                for c, members in (("policy", ("digest",)), ("checksums", ("input", "output"))):
-                    r[c], hit = guard_digests(r[c], members, test)
-                    count += hit
-                r |= {"seq": n + 1, "guarded": count, "prev": prev}
-                r["hash"] = record_hash(r, key)
-                last = {r["chain_id"]: (r["seq"], r["hash"])}
-                rows.append(r)
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in S.AUDIT.split(", ")])
+        for part in parts:
+            own = {c: part.column(c).to_pylist() for c in (*_BODY, "head_seq", "head_hash") if c not in ("seq", "prev")}
+            seqs, prevs, hashes = [], [], []
+            rest = zip(*[own[c] for c in _BODY if c not in ("seq", "prev")])
+            for (chain, *r), head_seq, head_hash in zip(rest, own["head_seq"], own["head_hash"]):
+                n, prev = last.get(chain) or ((-1, GENESIS) if head_seq is None else (head_seq, head_hash))
+                n += 1
+                h = digest(_body(chain, n, *r, prev), key, DOMAIN)
+                last = {chain: (n, h)}
+                seqs.append(n)
+                prevs.append(prev)
+                hashes.append(h)
+            new = {"seq": pa.array(seqs, pa.int64()), "prev": pa.array(prevs, pa.string()), "hash": pa.array(hashes, pa.string())}
+            yield pa.RecordBatch.from_arrays([new.get(c, part.column(c) if c in own else None) for c in _NAMES], list(_NAMES))
 
     more = [F.col(c) if c in events.columns else F.lit(None).cast("string").alias(c) for c in ("policy", "checksums")]
     own = events.select("chain_id", "seq", "ts", "operation", "actor", "source", "fields", "attributes", *more)
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema) + ", guarded int"
+    own = own.mapInArrow(guarded, kind)
     if heads is None:
         own = own.select("*", F.lit(None).cast("long").alias("head_seq"), F.lit(None).cast("string").alias("head_hash"))
     else:
-        own = own.join(heads.select("chain_id", F.col("seq").alias("head_seq"), F.col("hash").alias("head_hash")), "chain_id", "left")
-    return own.repartition("chain_id").sortWithinPartitions("chain_id", "seq").mapInPandas(run, S.AUDIT)
+        own = own.join(heads.select("chain_id", F.col("seq").cast("long").alias("head_seq"), F.col("hash").alias("head_hash")), "chain_id", "left")
+    return own.repartition("chain_id").sortWithinPartitions("chain_id", "seq").mapInArrow(run, S.AUDIT)
 
 
 def verify(audit: DataFrame, key: bytes | None = None, heads: DataFrame | None = None) -> DataFrame:
     """chain_id, records, ok, index, reason (bad-seq, bad-prev, malformed, bad-hash, head-mismatch): the first failure of each chain.
 
-    Records meet the one before them by its number, so that a long chain is checked by many tasks. Of records that
+    Records meet the one before them in blocks of numbers, so that a long chain is checked by many tasks. Of records that
     share a number, the second one is the failure, and if one of them fails by itself, the first.
 
     heads (chain_id, seq, hash) are heads kept elsewhere: a chain that was cut short doesn't reach its own.
@@ -155,15 +198,25 @@ def verify(audit: DataFrame, key: bytes | None = None, heads: DataFrame | None =
 
     def one(*row):
         try:
-            return record_hash(dict(zip(_BODY, row)), key)
+            return digest(_body(*row), key, DOMAIN)
         except (TypeError, ValueError, ValidationError):
             return None
 
-    own = audit.select("chain_id", F.col("seq").cast("long").alias("seq"), F.struct("prev", F.udf(one, "string", useArrow=True)(*_BODY).alias("h"), "hash").alias("r"))
-    # Each record stands at its own number, and as the one before at the next number.
-    both = F.array(F.struct(F.col("seq").alias("seq"), F.col("r").alias("r"), F.lit(None).cast("string").alias("before")), F.struct((F.col("seq") + 1).alias("seq"), F.lit(None).cast(own.schema["r"].dataType).alias("r"), F.col("r.hash").alias("before")))
-    places = own.select("chain_id", F.explode(both).alias("x")).select("chain_id", "x.*")
-    places = places.groupBy("chain_id", "seq").agg(F.count("r").alias("n"), F.min("r").alias("a"), F.max("r").alias("b"), F.max("before").alias("p"), F.max(F.col("r").isNull()).alias("after"))
+    own = audit.select("chain_id", F.col("seq").cast("long").alias("seq"), F.struct("prev", _column(one, "string", pa.string())(*_BODY).alias("h"), "hash").alias("r"))
+    # Records go to blocks of numbers, the last of a block to the next one too, as the one before. One shuffle and one sort serve all that follows.
+    block = lambda n: F.shiftright(n, BLOCK_BITS)
+    ends = F.coalesce(block(F.col("seq") + 1) > block(F.col("seq")), F.lit(False))
+    here = F.struct(block(F.col("seq")).alias("block"), F.col("r").alias("r"))
+    next_ = F.struct((block(F.col("seq")) + 1).alias("block"), F.lit(None).cast(own.schema["r"].dataType).alias("r"))
+    rows = own.select("chain_id", "seq", F.col("r.hash").alias("hash"), F.explode(F.when(ends, F.array(here, next_)).otherwise(F.array(here))).alias("x")).select("chain_id", "x.block", "seq", "hash", "x.r")
+    rows = rows.repartition("chain_id", "block").sortWithinPartitions("chain_id", "block", "seq")
+    places = rows.groupBy("chain_id", "block", "seq").agg(F.count("r").alias("n"), F.min("r").alias("a"), F.max("r").alias("b"), F.max("hash").alias("h"))
+    w = Window.partitionBy("chain_id", "block").orderBy("seq")
+    follows = lambda x, y: F.coalesce(x == y + 1, F.lit(False))
+    goes_on = follows(F.lead("seq").over(w), F.col("seq"))
+    judged = (F.col("n") == 0) | F.coalesce(block(F.col("seq") + 1) == F.col("block"), F.lit(False))  # whether the number after it is of this block
+    places = places.select("*", F.lag("h").over(w).alias("q"), follows(F.col("seq"), F.lag("seq").over(w)).alias("after"), F.when(judged & ~goes_on & (F.col("seq") >= 0), F.col("seq") + 1).alias("gap"))
+    places = places.withColumn("p", F.when(F.col("after"), F.col("q")))
     first = F.col("seq") == 0
 
     def wrong(r):
@@ -175,7 +228,7 @@ def verify(audit: DataFrame, key: bytes | None = None, heads: DataFrame | None =
     out = places.withColumn("why", why).groupBy("chain_id").agg(
         F.sum("n").alias("records"),
         F.min("why").alias("w"),
-        F.min(F.when((F.col("n") == 0) & (F.col("seq") > 0), F.col("seq"))).alias("gap"),  # the first number that no record has
+        F.min("gap").alias("gap"),  # the first number that no record has
         F.max(first & (F.col("n") > 0)).alias("begun"),
         F.max_by("b.hash", F.when(F.col("n") > 0, F.col("seq"))).alias("__head"),
     )
@@ -232,23 +285,33 @@ def require_intact(audit: DataFrame, key: bytes | None = None, heads: DataFrame
 
 def to_lines(audit: DataFrame) -> DataFrame:
     """value: each record as a line of canonical JSON, for write.text."""
-    names = [c.split()[0] for c in S.AUDIT.split(", ")]
-    return audit.select(F.udf(lambda *r: canonical(dict(zip(names, r))), "string", useArrow=True)(*names).alias("value"))
+    return audit.select(_column(_line, "string", pa.string())(*_NAMES).alias("value"))
 
 
 def from_lines(lines: DataFrame) -> DataFrame:
-    """The table of such lines: blank ones are left out; a line that isn't canonical gives a row of nulls."""
-    names = [c.split()[0] for c in S.AUDIT.split(", ")]
+    """The table of such lines: blank ones are left out; a line that isn't canonical, or not of a record, gives a row of nulls."""
+    ints = {"seq": 63, "guarded": 31}
+    none = (None,) * len(_NAMES)
 
-    def run(line):
+    def one(line):
         try:
             x = json.loads(line)
-            return tuple(x[n] for n in names) if isinstance(x, dict) and set(x) == set(names) and canonical(x) == line else (None,) * len(names)
-        except (ValueError, KeyError):
-            return (None,) * len(names)
+            if not isinstance(x, dict) or len(x) != len(_NAMES):
+                return none
+            r = tuple([x[n] for n in _NAMES])
+            fits = all(v is None or (type(v) is int and -1 << ints[n] <= v < 1 << ints[n] if n in ints else type(v) is str) for n, v in x.items())
+            return r if fits and _line(*r) == line else none
+        except (ValueError, KeyError, RecursionError):
+            return none
+
+    to = pa.struct([(n, pa.int64() if n == "seq" else pa.int32() if n == "guarded" else pa.string()) for n in _NAMES])
+
+    def run(column):
+        rows = list(map(one, column.to_pylist()))
+        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(_NAMES), to)], fields=list(to))
 
     kind = "struct<" + S.AUDIT.replace(" ", ":").replace(",:", ",") + ">"
-    return lines.select(F.regexp_replace("value", "\r$", "").alias("value")).where("trim(value) <> ''").select(F.udf(run, kind, useArrow=True)("value").alias("r")).select("r.*")
+    return lines.select(F.regexp_replace("value", "\r$", "").alias("value")).where("trim(value) <> ''").select(F.arrow_udf(run, kind)("value").alias("r")).select("r.*")
 
 
 def input_checksum(key: bytes, text: str) -> str:

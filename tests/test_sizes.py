@@ -1,10 +1,10 @@
 """Queries on small tables made for what shows only in large ones."""
 
-import datetime
-
 import pytest
-from pyspark.sql import functions as F
 
+from cloakspark import schemas as S
+from cloakspark.functions.json_tools import canonical
+from cloakspark.operators import audit
 from cloakspark.plans.queries import QUERIES
 
 #: A card number that a group of an address before or after it runs on with.
@@ -32,3 +32,54 @@ def test_scan_findings_keep_overlapping_categories(spark, overlapping):
 def test_sensitive_by_lang_category_counts_overlapping_categories(spark, overlapping):
     got = {tuple(r) for r in QUERIES["sensitive_by_lang_category"](spark, overlapping).collect()}
     assert got == {("en", "credit-card", 2), ("en", "ipv4", 2), ("en", "email", 1)}
+
+
+KIND = "chain_id string, seq long, ts string, operation string, actor string, source string, fields string, attributes string"
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _log(spark, n=20):
+    return audit.seal(spark.createDataFrame([(c, i, "t", 'o"é\n', "u", "s", "[]", '{"a":1}') for c in "ab" for i in range(n)], KIND), b"k")
+
+
+def test_audit_guarded_guards_where_the_events_are(spark):
+    """Only hashing goes in the order of a chain."""
+    above, shuffle, below = _plan(_log(spark)).partition("Exchange hashpartitioning(chain_id")
+    assert shuffle and "guarded(" in below and "run(" in above and "guarded(chain_id" not in above
+
+
+def test_audit_verify_shuffles_records_once(spark):
+    log = spark.createDataFrame(_log(spark).collect(), S.AUDIT)
+    plan = _plan(audit.verify(log, b"k"))
+    assert plan.count("Exchange hashpartitioning(chain_id") == 2 and "block" in plan and plan.count("Window [") == 1
+
+
+@pytest.mark.parametrize("bits", [1, 2, 12])
+def test_audit_verify_tampered_at_the_edges_of_blocks(spark, monkeypatch, bits):
+    monkeypatch.setattr(audit, "BLOCK_BITS", bits, raising=True)
+    rows = [r.asDict() for r in _log(spark).collect()]
+    assert all(r["hash"] == audit.record_hash(r, b"k") for r in rows)
+
+    def check(change):
+        kept = [x for r in rows for x in (change(r) if r["chain_id"] == "a" else [r])]
+        got = audit.verify(spark.createDataFrame([tuple(r.values()) for r in kept], S.AUDIT), b"k").collect()
+        assert ("b", 20, True, None, None) in map(tuple, got)
+        return next(tuple(r)[1:] for r in got if r["chain_id"] == "a")
+
+    for at in (3, 4, 8):
+        assert check(lambda r: [] if r["seq"] == at else [r]) == (19, False, at, "bad-seq")
+        assert check(lambda r: [r, r] if r["seq"] == at else [r]) == (21, False, at + 1, "bad-seq")
+        assert check(lambda r: [r | {"prev": "0" * 64}] if r["seq"] == at else [r]) == (20, False, at, "bad-prev")
+        assert check(lambda r: [r | {"actor": "x"}] if r["seq"] == at else [r]) == (20, False, at, "bad-hash")
+
+
+def test_audit_lines_roundtrip_of_odd_lines(spark):
+    log = _log(spark, 2)
+    assert audit.from_lines(audit.to_lines(log)).exceptAll(log).count() == 0
+    line = audit.to_lines(log).first()["value"]
+    assert line == canonical(log.first().asDict())
+    odd = [line.replace('"seq":', '"seq": '), line.replace('"ts":"t"', '"ts":5'), line.replace('"guarded":0', '"guarded":4294967296'), "[" * 100000]
+    assert audit.from_lines(spark.createDataFrame([(x,) for x in odd], "value string")).where("hash IS NULL").count() == 4
