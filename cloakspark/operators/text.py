@@ -7,14 +7,23 @@ the original. Null texts give null results.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
+from pyspark.util import PythonEvalType
 
 from .. import schemas as S
 from ..functions import legacy
 from ..plans.spec import Legacy, cached, compile_pipeline
 
+#: Texts that a worker holds as objects at once.
+ROWS_AT_ONCE = 128
+
 
 def _udf(f, kind: str):
     """Called non-deterministic so that a text is read once: else filters that follow, also those which an explode implies, are
@@ -22,11 +31,39 @@ def _udf(f, kind: str):
     return F.udf(f, kind, useArrow=True).asNondeterministic()
 
 
+def _array(values: list, kind: pa.DataType) -> pa.Array:
+    """Values as Arrow has them; structs are tuples."""
+    if pa.types.is_struct(kind):
+        none = (None,) * kind.num_fields
+        columns = zip(*[none if v is None else v for v in values]) if values else [()] * kind.num_fields
+        return pa.StructArray.from_arrays([_array(list(c), f.type) for c, f in zip(columns, kind)], fields=list(kind), mask=pa.array([v is None for v in values], pa.bool_()))
+    if pa.types.is_list(kind):
+        ends = [0, *accumulate(len(v or ()) for v in values)]
+        starts = [None if v is None else at for v, at in zip(values, ends)]
+        return pa.ListArray.from_arrays(pa.array([*starts, ends[-1]], pa.int32()), _array([x for v in values for x in v or ()], kind.value_type), type=kind)
+    return pa.array(values, kind)
+
+
+def _sliced(f, kind: str):
+    """As _udf, for long texts: however many rows Spark sends at once, only some texts and their results are held as objects,
+    and results go back as they are made."""
+    to = to_arrow_type(DataType.fromDDL(kind))
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            for at in range(0, len(part), ROWS_AT_ONCE):
+                yield _array([f(t) for t in part.slice(at, ROWS_AT_ONCE).to_pylist()], to)
+            if not len(part):
+                yield _array([], to)
+
+    return F.arrow_udf(run, kind, PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF).asNondeterministic()
+
+
 def detect(text: Column, categories=None, *, aggressive: bool = False, detectors: dict | None = None, apart: bool = False) -> Column:
     """Array of (category, value, start, end, confidence), sorted and disjoint: the first generation's detection. With apart,
     only matches of one category are disjoint: counts of a category are then the same whatever others are looked for."""
     Legacy({"categories": list(categories)} if categories else {}, detectors)
-    return _udf(lambda t: None if t is None else legacy.detect(t, categories, detectors=detectors, aggressive=aggressive, apart=apart), S.MATCHES)(text)
+    return _sliced(lambda t: None if t is None else legacy.detect(t, categories, detectors=detectors, aggressive=aggressive, apart=apart), S.MATCHES)(text)
 
 
 def has_sensitive(text: Column, categories=None) -> Column:
@@ -48,7 +85,7 @@ def anonymize(text: Column, options: dict | None = None, *, detectors: dict | No
         except Exception as e:  # noqa: BLE001 - withheld, not passed on
             return None, None, type(e).__name__
 
-    return _udf(run, S.ANONYMIZED)(text)
+    return _sliced(run, S.ANONYMIZED)(text)
 
 
 def scan(text: Column, spec: dict | None = None) -> Column:
@@ -77,7 +114,7 @@ def transform(text: Column, spec: dict | None = None) -> Column:
         except Exception as e:  # noqa: BLE001
             return None, None, type(e).__name__
 
-    return _udf(run, S.TRANSFORMED)(text)
+    return _sliced(run, S.TRANSFORMED)(text)
 
 
 def transform_distinct(df: DataFrame, text_col: str, spec: dict | None = None, out_col: str = "transformed") -> DataFrame:

@@ -1,10 +1,12 @@
 """Queries on small tables made for what shows only in large ones."""
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cloakspark import schemas as S
 from cloakspark.functions.json_tools import canonical
-from cloakspark.operators import audit
+from cloakspark.operators import audit, text
 from cloakspark.plans.queries import QUERIES
 
 #: A card number that a group of an address before or after it runs on with.
@@ -83,3 +85,17 @@ def test_audit_lines_roundtrip_of_odd_lines(spark):
     assert line == canonical(log.first().asDict())
     odd = [line.replace('"seq":', '"seq": '), line.replace('"ts":"t"', '"ts":5'), line.replace('"guarded":0', '"guarded":4294967296'), "[" * 100000]
     assert audit.from_lines(spark.createDataFrame([(x,) for x in odd], "value string")).where("hash IS NULL").count() == 4
+
+
+def test_texts_go_through_workers_in_slices(spark):
+    """However many rows Spark sends at once (redact_documents, detect_*, chunks_*)."""
+    f = text._sliced(lambda t: [(t, len(t))] if t else None, "array<struct<a:string,n:int>>")
+    got = list(getattr(f, "func", f).__call__(iter([pa.array(["x"] * 300), pa.array(["yy", None], pa.string()), pa.array([], pa.string())])))
+    assert [len(g) for g in got] == [128, 128, 44, 2, 0] and got[3].to_pylist() == [[{"a": "yy", "n": 2}], None]
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else f"a{i}@x.org and b@y.org" if i % 3 else "none") for i in range(400)], "i long, t string")
+    out = rows.select("i", "t", text.anonymize(F.col("t"), {"categories": ["email"]}).alias("a"), text.transform(F.col("t"), {"categories": ["email"]}).alias("b")).collect()
+    assert len(out) == 400
+    for r in out:
+        want = None if r["t"] is None else "[REDACTED] and [REDACTED]" if "@" in r["t"] else r["t"]
+        assert (r["a"] and r["a"]["text"]) == (r["b"] and r["b"]["text"]) == want
+        assert r["t"] is None or [m["value"] for m in r["a"]["matches"]] == [r["t"][s["start"] : s["end"]] for s in r["b"]["spans"]]
